@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with ``QUERIES`` and ``ORACLE_SQL``.
-MODULES = ("timestamps",)
+MODULES = ("timestamps", "spikes")
 
 
 def collect() -> tuple[dict, dict]:
