@@ -102,7 +102,12 @@ def flag_series(x: np.ndarray, cfg: ChartConfig = ChartConfig()) -> tuple[np.nda
         far = cfg.base + cfg.factor * move
         side = np.where((fwd > far) & (bwd > far), 1, np.where((fwd < -far) & (bwd < -far), -1, 0))
         group, size = _lengths(side[1:] == side[:-1])
-        spike[at] = (side != 0) & (size[group] <= cfg.few)
+        hit = (side != 0) & (size[group] <= cfg.few)
+        for g in np.unique(group[hit]):  # few: confirm that the readings next to it are back at the level
+            a, b = np.searchsorted(group, [g, g + 1])
+            near = np.concatenate([y[max(0, a - 2) : a], y[b : b + 2]]) * side[a]
+            hit[a:b] = (y[a:b] * side[a]).min() - near.max() > cfg.base
+        spike[at] = hit
     return limit, spike & ~stuck, stuck
 
 
