@@ -137,9 +137,9 @@ def flag(
     """
     v = F.col(f"`{value}`").cast("double")
     pos = F.coalesce(F.col(f"`{order}`").cast("bigint"), F.lit(0))
-    blk = F.floor(pos / block)
+    blk = F.greatest(F.floor(pos / block), F.lit(0))
     inside = pos - blk * block
-    homes = F.array_compact(F.array(blk, F.when(inside < halo, blk - 1), F.when(inside >= block - halo, blk + 1)))
+    homes = F.array_compact(F.array(blk, F.when((inside < halo) & (blk > 0), blk - 1), F.when(inside >= block - halo, blk + 1)))
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(
         F.col(f"`{source}`").alias("src"), F.col(f"`{key}`").alias("key"), pos.alias("line"), v.alias("v"),
         (F.col(f"`{counter}`").cast("double") if counter else F.lit(None).cast("double")).alias("c"), blk.alias("own"), F.explode(homes).alias("blk"),
