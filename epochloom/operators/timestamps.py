@@ -159,7 +159,7 @@ def counter_instant(near_us: Column, counter: Column) -> Column:
 def settle(
     df: DataFrame, counters: DataFrame | None = None, *, source: str, order: str, key: str, counter: str | None = None, block: int = 2048, near_lines: int = 16, step_us: int = 90 * _S
 ) -> DataFrame:
-    """Choose between ``early_us`` and ``late_us``; returns ``key`` and ``utc_us`` of rows that name an instant.
+    """Choose between ``early_us`` and ``late_us``; returns ``key``, ``source``, ``order`` and ``utc_us`` of rows that name an instant.
 
     ``df`` holds the lines with a text, with ``early_us`` and ``late_us`` of :func:`parse`; it is read more than once,
     so it should be stored. ``counters`` has ``source``, ``order`` and ``counter`` of the lines with a counter. Only the blocks of
@@ -177,7 +177,7 @@ def settle(
     Ties in ``order`` count as one moment. Lines with null ``order`` are settled as the earlier candidate.
     """
     amb = F.col("early_us") != F.col("late_us")
-    plain = df.where(F.col("early_us").isNotNull() & (~amb | F.col(order).isNull())).select(key, F.col("early_us").alias("utc_us"))
+    plain = df.where(F.col("early_us").isNotNull() & (~amb | F.col(order).isNull())).select(key, source, order, F.col("early_us").alias("utc_us"))
     blk = F.floor(F.col(order) / block)
     hours = (
         df.where(amb & F.col(order).isNotNull())
@@ -230,14 +230,14 @@ def settle(
         pick = F.when(gap("__cn").isNull() | (gap("__cp") <= gap("__cn")), F.when(gap("__cp").isNotNull(), F.col("__cp.c"))).otherwise(F.col("__cn.c"))
         off = lambda cand: F.abs(counter_instant(cand, pick) - cand)
         late = F.when(pick.isNotNull(), off(F.col("late_us")) < off(e)).otherwise(by_order)
-    return plain.unionByName(marked.select(key, F.when(late, F.col("late_us")).otherwise(e).alias("utc_us")))
+    return plain.unionByName(marked.select(key, source, order, F.when(late, F.col("late_us")).otherwise(e).alias("utc_us")))
 
 
 def normalise(
     df: DataFrame, zones: DataFrame, *, text: str, source: str, order: str = "line_no", key: str = "row_id", device: str = "device_id",
     tz: str = "tz_name", locale: str = "locale", counter: str | None = None, nonexistent: str = "null",
 ) -> DataFrame:
-    """One row (``key``, ``utc_us``) per row of ``df`` whose ``text`` names an instant.
+    """One row (``key``, ``source``, ``order``, ``utc_us``) per row of ``df`` whose ``text`` names an instant.
 
     ``zones`` is the lookup (``device``, ``tz``, ``locale``), one row a device; it is joined without a hint, so
     Spark broadcasts it only while its measured size is below the session's threshold. Devices that it lacks
