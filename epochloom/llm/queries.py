@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epochloom.llm.leaks import find_leaks
 from epochloom.llm.runs import collapse_runs
 from epochloom.llm.splits import assign_groups, components, spelled_number
 from epochloom.runtime import spill, table
@@ -49,6 +50,12 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("pid", "run_start_s", "run_end_s", F.col("hyp_sleep_bin").alias("level"), "n_epochs", "duration_s")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speeches with a passage of an evaluation item, and the item. ``eval_items`` is a fixed table of 240 rows."""
+    items = [(r["item_id"], r["passage"]) for r in table(spark, sf_dir, "eval_items").select("item_id", "passage").collect()]
+    return find_leaks(table(spark, sf_dir, "documents"), items, key="doc_id", text="text")
+
+
 _RUNS_SQL = """
 with last_sent as (
   select pid, hyp_time_col, arg_max(coalesce(hyp_sleep_bin, -99), (received_at, row_id)) as bin
@@ -63,7 +70,7 @@ runs as (
   from numbered where v is not null group by pid, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
 ORACLE_SQL = {
     "p2_found": """
 with recursive r as (select try_cast(regexp_extract(pid, '^\\D*?0*(\\d{1,18})(?:\\.0*)?\\D*$', 1) as bigint) as number, fold from ml),
