@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochloom.llm.leaks import find_leaks
+from epochloom.llm.packing import Capacity, pack_documents
+from epochloom.llm.residue import find_residue
 from epochloom.llm.runs import collapse_runs
 from epochloom.llm.splits import assign_groups, components, spelled_number
 from epochloom.runtime import spill, table
@@ -56,6 +58,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), items, key="doc_id", text="text")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame:
+    """Every non-blank text or piece with its container, for the capacity of one of the context windows."""
+    windows = table(spark, sf_dir, "context_windows").where(F.col("window_name") == window).select("capacity_tokens").take(1)
+    return pack_documents(table(spark, sf_dir, "documents"), Capacity(windows[0]["capacity_tokens"]), key="doc_id", text="text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are or hold residue of templates, filler, error pages or script notices."""
+    return find_residue(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
 _RUNS_SQL = """
 with last_sent as (
   select pid, hyp_time_col, arg_max(coalesce(hyp_sleep_bin, -99), (received_at, row_id)) as bin
@@ -70,7 +83,7 @@ runs as (
   from numbered where v is not null group by pid, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE_SQL = {
     "p2_found": """
 with recursive r as (select try_cast(regexp_extract(pid, '^\\D*?0*(\\d{1,18})(?:\\.0*)?\\D*$', 1) as bigint) as number, fold from ml),
