@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with ``QUERIES`` and ``ORACLE_SQL``.
-MODULES = ("timestamps", "spikes", "grid")
+MODULES = ("timestamps", "spikes", "grid", "epochs")
 
 
 def collect() -> tuple[dict, dict]:
