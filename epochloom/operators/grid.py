@@ -40,7 +40,7 @@ def resolve_counter(
     are left out. Null sources or orders are left out. Repeated rows get the same instant.
     """
     read = readings.where(F.col(counter).isNotNull() & F.col(source).isNotNull() & F.col(order).isNotNull())
-    extra = [c for c in read.columns if c not in (source, order, counter)]
+    extra = [c for c in read.columns if c not in (source, order, counter, "utc_s")]
     rows = read.select(F.col(source).alias("__s"), F.col(order).cast("bigint").alias("__o"), F.col(counter).cast("bigint").alias("__c"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("__x"), F.lit(None).cast("bigint").alias("__t"))
     known = anchors.where(F.col("utc_us").isNotNull() & F.col(source).isNotNull() & F.col(order).isNotNull())
     at = F.floor(F.col("utc_us") / 1_000_000) - COUNTER_START_S

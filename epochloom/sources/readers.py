@@ -65,7 +65,7 @@ def standardise(df: DataFrame, cfg: SourceConfig, *, pid: str | None = None, ord
     """
     if not 1 <= len(cfg.activity) <= 3:
         raise ValueError("needs one to three activity columns")
-    for c in (*cfg.activity, cfg.datetime, *([cfg.hr] if cfg.hr else []), *([cfg.mets] if cfg.mets else [])):
+    for c in (*cfg.activity, cfg.datetime, *([cfg.hr] if cfg.hr else []), *([cfg.mets] if cfg.mets else []), *([cfg.day_of_week] if cfg.day_of_week and not cfg.strftime else [])):
         if c not in df.columns:
             raise ValueError(f"no column {c!r}")
     if pid is None and cfg.pid is None:
