@@ -53,7 +53,7 @@ def count_tokens(documents: DataFrame, *, key: str, text: str, ranks: str = DEFA
                 n = [len(enc.encode_ordinary(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["key", "n_tokens"])
 
-    rows = documents.select(documents[key].alias("key"), documents[text].alias("text")).where(F.col("text").rlike(r"\S"))
+    rows = documents.select(documents[key].alias("key"), documents[text].alias("text")).where(F.col("text").rlike(r"(?U)\S"))
     return rows.mapInArrow(count, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
 
 
