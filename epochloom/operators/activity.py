@@ -108,3 +108,17 @@ def complete_hours(df: DataFrame, s: EpochSchema, fill: dict[str, float]) -> Dat
     return grid.join(df, [s.pid, s.day, "hour"], "left").fillna(fill)
 
 
+
+
+def bout_table(df: DataFrame, levels: list[str], lengths: list[float], s: EpochSchema, *, resolution: str = "day", **kwargs) -> DataFrame:
+    """(pid, day[, hour], one column ``<level>_<minutes>`` a level and length): bouts, 0 where there are none."""
+    keys = [s.pid, s.day, *(["hour"] if resolution == "hour" else [])]
+    long = None
+    for level in levels:
+        for minutes in lengths:
+            one = bouts(df, level, minutes, s, resolution=resolution, **kwargs).withColumn("__what", F.lit(f"{level}_{minutes:g}"))
+            long = one if long is None else long.unionByName(one)
+    names = [f"{v}_{m:g}" for v in levels for m in lengths]
+    grid = df.select(*_keys(s, resolution)).distinct()
+    wide = long.groupBy(*keys).pivot("__what", names).agg(F.sum("n_bouts"))
+    return grid.join(wide, keys, "left").fillna(0, names)

@@ -157,3 +157,37 @@ def join_features(tables: list[DataFrame], keys: list[str], suffixes: list[str]
         seen |= set(t.columns)
         out = out.join(t, keys)
     return out
+
+
+def annotation_from(column: Column, values: list | None = None, *, negate: bool = False) -> Column:
+    """A boolean annotation from stages, intervals or labels: True where the value is one of ``values`` (or non-zero)."""
+    hit = column.isin(values) if values is not None else column != 0
+    return F.coalesce(~hit if negate else hit, F.lit(False))
+
+
+def met_minutes(df: DataFrame, levels: dict[str, float], *, minutes: str = "{}", days: float = 7, out: str = "met_minutes") -> DataFrame:
+    """Weekly MET-minutes: minutes of each level times its weight, times ``days``; a missing level counts nothing."""
+    total = None
+    for name, weight in levels.items():
+        term = F.coalesce(F.col(minutes.format(name)), F.lit(0)) * weight
+        total = term if total is None else total + term
+    return df.withColumn(out, total * days)
+
+
+def melt(df: DataFrame, keys: list[str], values: list[str], *, name: str = "variable", value: str = "value") -> DataFrame:
+    """One row a value column."""
+    return df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(keys, values, name, value)
+
+
+def pad_sequence(values: Column, length: int, fill: float = 0.0) -> Column:
+    """An array cut or filled to a length."""
+    return F.slice(F.concat(F.coalesce(values, F.array().cast("array<double>")), F.array_repeat(F.lit(fill), length)), 1, length)
+
+
+def linear_fit(df: DataFrame, inputs: list[str], target: str, *, regularisation: float = 0.0):
+    """A linear regression of ``pyspark.ml`` over rows without nulls."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*inputs, target])]).dropna()
+    return LinearRegression(featuresCol="__x", labelCol=target, regParam=regularisation).fit(VectorAssembler(inputCols=inputs, outputCol="__x").transform(rows))

@@ -173,3 +173,9 @@ def bland_altman(df: DataFrame, a: str, b: str, s: EpochSchema) -> DataFrame:
     x = x.select(s.pid, s.day, ((F.col("a") + F.col("b")) / 120).alias("average"), ((F.col("a") - F.col("b")) / 60).alias("difference"))
     total = x.agg(F.avg("difference").alias("mean"), F.stddev_pop("difference").alias("std")).select("mean", (F.col("mean") - F.col("std")).alias("lower"), (F.col("mean") + F.col("std")).alias("upper"))
     return x.crossJoin(total)  # one row on that side
+
+
+def population_summary(df: DataFrame, sleep: str, s: EpochSchema, *, least_minutes: float = 150) -> DataFrame:
+    """(pid, ``n_days``, ``mean_tst``, ``std_tst``): minutes asleep over the days with more than ``least_minutes``."""
+    nights = total_sleep_time(df, sleep, s, out="tst").where(F.col("tst") > least_minutes)
+    return nights.groupBy(s.pid).agg(F.count("*").alias("n_days"), F.avg("tst").alias("mean_tst"), F.stddev_samp("tst").alias("std_tst"))

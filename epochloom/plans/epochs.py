@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochloom.operators import activity, boundaries, circadian, days, features, islands, joins, metrics, nonwear, scoring, sweep, validate, views
+from epochloom.operators import activity, blocks, boundaries, circadian, days, features, islands, joins, metrics, nonwear, scoring, sweep, validate, views
+from epochloom.plans.pipeline import feature_tables
 from epochloom.runtime import table
 from epochloom.schema import EpochSchema
 
@@ -631,3 +632,51 @@ def ssa(spark: SparkSession, sf: str) -> DataFrame:
 @_query("select pid, hyp_time_col from (select user_id::varchar as pid, ts as hyp_time_col, value from events) order by value desc, hyp_time_col limit 20", base=False)
 def top_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").orderBy(F.desc("value"), "ts").limit(20).select(F.col("user_id").cast("string").alias("pid"), F.col("ts").alias("hyp_time_col"))
+
+
+@_query(_RUN + " select pid, hyp_row, seq, count(*) over (partition by pid, seq)::int as len from r")
+def run_lengths_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.run_lengths(dense(spark, sf), "ann", S, length="len", seq="seq", block_s=43_200).select("pid", "hyp_row", "seq", "len")
+
+
+def _blocked(name: str, op, before: int, after: int, cols: list[str], sql: str):
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        x = dense(spark, sf).withColumn("label", _i("calm"))
+        return blocks.apply(x, S, op, before=before, after=after, rows=200).select("pid", "hyp_row", *cols)
+
+    f.__name__ = name
+    _query(sql)(f)
+
+
+_blocked("scripps_in_blocks", lambda x, s: scoring.score(x, "ScrippsClinic", s), 10, 2, ["ScrippsClinic"], f" select pid, hyp_row, (0.204 * ({_lin(scoring.SCRIPPS)}) < 1)::int as ScrippsClinic from d{_W}")
+_blocked("webster_in_blocks", lambda x, s: scoring.rescore(x, "label", s, out="rescored"), 81, 44, ["rescored"], _webster("abcde"))
+
+
+_BT = ", ".join(f"coalesce(max(case when what = '{n}' then n end), 0)::bigint as \"{n}\"" for n in ("light_60", "light_180", "mod_60", "mod_180"))
+
+
+@_query("".join(f""", {v}0 as (select pid, day, t, a > {c} as g from d), {v}1 as (select *, case when g is distinct from lag(g) over (partition by pid order by t) then 1 else 0 end as nw from {v}0),
+{v}2 as (select *, sum(nw) over (partition by pid order by t rows unbounded preceding) as seq from {v}1), {v}3 as (select *, count(*) over (partition by pid, seq) as len, row_number() over (partition by pid, seq order by t) as k from {v}2 where g)""" for v, c in (("light", 40), ("mod", 120)))
+        + ", u as (" + " union all ".join(f"select pid, day, '{v}_{m}' as what, count(*) as n from {v}3 where k = 1 and len >= {m // 60} group by pid, day" for v in ("light", "mod") for m in (60, 180)) + f") select dd.pid, dd.day as hyp_exp_day, {_BT} from (select distinct pid, day from d) dd left join u on u.pid = dd.pid and u.day = dd.day group by dd.pid, dd.day")
+def pa_bout_table(spark: SparkSession, sf: str) -> DataFrame:
+    return activity.bout_table(activity.pa_levels(dense(spark, sf), CUTS, "hyp_act_x"), ["light", "mod"], [60, 180], S)
+
+
+@_query(", v as (select pid, day, sum(ann::int) * 60.0 as tst from d group by pid, day) select pid, count(*) as n_days, round(avg(tst), 5) as mean_tst, round(stddev_samp(tst), 5) as std_tst from v where tst > 150 group by pid")
+def population_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.population_summary(dense(spark, sf), "ann", S).withColumns({c: F.round(c, 5) for c in ("mean_tst", "std_tst")})
+
+
+@_query("select row_id, 'mesor' as variable, mesor as value from ml union all select row_id, 'amplitude', amplitude from ml", base=False)
+def melt_features(spark: SparkSession, sf: str) -> DataFrame:
+    return features.melt(table(spark, sf, "ml"), ["row_id"], ["mesor", "amplitude"])
+
+
+@_query()
+def features_per_day(spark: SparkSession, sf: str) -> DataFrame:
+    return feature_tables(dense(spark, sf), S, CUTS, label="gt", lengths=(60, 180))[0]["per_day"]
+
+
+@_query()
+def features_per_hour(spark: SparkSession, sf: str) -> DataFrame:
+    return feature_tables(dense(spark, sf), S, CUTS, label="gt", lengths=(60, 180))[0]["per_hour"]

@@ -33,10 +33,11 @@ class EpochSchema:
     diary_offset: str = "hyp_diary_offset"
     diary_sleep: str = "hyp_diary_sleep"
     freq_s: int = 30
+    blocks: tuple[str, ...] = ()  # set by epochloom.operators.blocks
 
     def window(self, *by: str) -> WindowSpec:
         """Epochs of one participant (and of each of ``by``) in order of time."""
-        return Window.partitionBy(self.pid, *by).orderBy(self.time, *([self.row] if self.row else []))
+        return Window.partitionBy(self.pid, *self.blocks, *by).orderBy(self.time, *([self.row] if self.row else []))
 
     def seconds(self, df: DataFrame) -> Column:
         """Time of an epoch as whole seconds."""

@@ -105,7 +105,7 @@ def write_epochs(df: DataFrame, s: EpochSchema, path: str, *, buckets: int = 64)
 def read_saved(spark: SparkSession, path: str) -> tuple[DataFrame, EpochSchema]:
     """What :func:`write_epochs` wrote."""
     kept = json.loads(spark.read.text(f"{path}/schema").first()["value"])
-    kept["activity"] = tuple(kept["activity"])
+    kept |= {k: tuple(kept[k]) for k in ("activity", "blocks")}
     return spark.read.parquet(f"{path}/epochs").drop("pid_bucket"), EpochSchema(**kept)
 
 
