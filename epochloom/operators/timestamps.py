@@ -117,6 +117,9 @@ def parse(df: DataFrame, text: str, tz: str, locale: str, *, nonexistent: str =
     date = F.unix_date(F.make_date(y, mo, d)).cast("bigint")
     wall = F.when(ok, date * _DAY + ((hour * 60 + F.col("__mi")) * 60 + F.col("__s")).cast("bigint") * _S + F.col("__us"))
     s4 = s3.select(*[F.col(f"`{c}`") for c in keep], "__n", wall.alias("__w"), "__zone", F.when(F.col("__zone") == "", F.coalesce("__region", F.col(f"`{tz}`"))).otherwise(F.col(f"`{tz}`")).alias("__tz"), F.col("__zone").rlike(r"^[+-]").alias("__num"))
+    # a zone that the JVM doesn't know would be an error
+    known = [str(z) for z in df.sparkSession.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()]
+    s4 = s4.withColumn("__tz", F.when(F.col("__tz").isin(known), F.col("__tz")))
     zone, w = F.col("__zone"), F.col("__w")
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     digits = F.regexp_replace(zone, "[^0-9]", "")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochloom.operators import activity, boundaries, circadian, days, features, islands, metrics, validate
+from epochloom.runtime import spill
 from epochloom.schema import EpochSchema
 
 
@@ -16,13 +17,13 @@ def feature_tables(
     """(``per_day``, ``per_hour``, ``per_pid``) and the names of the features of each family.
 
     The annotation gives sleep periods; days are wake and sleep runs from then on. Days with less sleep than
-    ``min_sleep`` minutes are left out. Everything is lazy; the tables share the epochs, which the caller may store.
+    ``min_sleep`` minutes are left out. The validated epochs are written once; the tables are lazy and read them.
     """
     value = s.activity[0]
     x = boundaries.by_annotation(epochs, s, merge_minutes=merge_minutes, only_largest=False)
     x, s = islands.day_night_sequence(x, "hyp_sleep_period", s)
     x = validate.remove_flagged_days(validate.flag_day_short_sleep(validate.init(x, s), s, "hyp_sleep_period", min_sleep), s)
-    x = activity.pa_levels(x, cuts, value)
+    x = spill(activity.pa_levels(x, cuts, value))
     key = [s.pid, s.day]
     bouts = activity.bout_table(x, list(cuts.names), list(lengths), s, sleep="hyp_sleep_period")
     bins = activity.binned(x, cuts, value, s, resolution="day")

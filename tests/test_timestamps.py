@@ -49,6 +49,8 @@ def test_every_form(spark):
 def test_texts_that_name_no_instant(spark):
     df = spark.createDataFrame([(t, "UTC", "en_US") for t in [*NOT, None]] + [("2020-06-01 12:00:00", None, "en_US")], "t string, tz string, locale string")
     assert parse(df, "t", "tz", "locale").where("early_us is not null").count() == 0
+    odd = spark.createDataFrame([("2020-06-01 12:00:00", "Mars/Base", "x"), ("2020-06-01 12:00:00[Mars/Base]", "UTC", "x"), ("2020-06-01T12:00:00+01:00[Mars/Base]", "Mars/Base", "x")], "t string, tz string, locale string")
+    assert [r.early_us for r in parse(odd, "t", "tz", "locale").collect()] == [None, None, us(2020, 6, 1, 11)]
 
 
 def test_gap_and_repeated_hour(spark):
