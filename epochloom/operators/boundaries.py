@@ -42,7 +42,7 @@ def _bin_quantile(df: DataFrame, value: Column, s: EpochSchema, start_hour: int,
     x = df.withColumn("__bin", _bins(s.seconds(df), start_hour))
     per = x.groupBy(s.pid, "__bin").agg(F.percentile(value, F.lit(q)).alias("__q"))
     w = Window.partitionBy(s.pid).orderBy("__bin")
-    filled = F.coalesce(F.last("__q", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("__q", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    filled = F.coalesce(F.last("__q", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last("__q", ignorenulls=True).over(Window.partitionBy(s.pid).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, 0)))
     per = per.select(s.pid, "__bin", filled.alias(out))
     return x.join(per, [s.pid, "__bin"]).drop("__bin")
 
@@ -81,7 +81,7 @@ def by_heart_rate(
     frame = w.rowsBetween(-(n - 1), 0)
     total = F.sum("__low").over(frame)  # the median of zeros and ones
     x = x.withColumn("__med", _full(frame, n, F.when(total * 2 > n, 1.0).when(total * 2 == n, 0.5).otherwise(0.0)))
-    x = x.withColumn("__med", F.first("__med", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    x = x.withColumn("__med", F.last("__med", ignorenulls=True).over(s.window_back().rowsBetween(Window.unboundedPreceding, 0)))
     if only_in_search:
         x = x.withColumn("__med", F.when(F.col("__out"), 0.0).otherwise(F.col("__med")))
     x = run_lengths(x.withColumn("__m2", (F.col("__med") * 2).cast("int")), "__m2", s, length="__len", seq="__seq")

@@ -25,7 +25,7 @@ def merge_tolerance(df: DataFrame, col: str, minutes: float, s: EpochSchema, *,
     w = s.window(*by)
     flag, t = F.coalesce(F.col(col), F.lit(False)), s.seconds(df)
     before = F.max(F.when(flag, t)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(flag, t)).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.min(F.when(flag, t)).over(s.window_back(*by).rowsBetween(Window.unboundedPreceding, 0))
     close = F.lit(True) if minutes < 0 else after - before <= minutes * 60
     return df.withColumn(out or col, flag | F.coalesce(close & before.isNotNull() & after.isNotNull(), F.lit(False)))
 

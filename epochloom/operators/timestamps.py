@@ -193,9 +193,10 @@ def settle(
     near = lines.withColumn("__b", blk).join(spill(hours), [source, "__b"])
     own = F.coalesce(amb & (F.floor(F.col("early_us") / _DAY) == F.col("__hour")), F.lit(False))
     w = Window.partitionBy(source, "__hour").orderBy(order)
-    before, after = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(1, Window.unboundedFollowing)
+    back_w = Window.partitionBy(source, "__hour").orderBy(F.desc(order))  # looking ahead in linear time
+    before, after = w.rangeBetween(Window.unboundedPreceding, -1), back_w.rangeBetween(Window.unboundedPreceding, -1)
     to_now = w.rangeBetween(Window.unboundedPreceding, 0)
-    from_now = w.rangeBetween(0, Window.unboundedFollowing)
+    from_now = back_w.rangeBetween(Window.unboundedPreceding, 0)
     e, ln = F.col("early_us"), F.col(order)
     fixed = F.when(F.col("early_us") == F.col("late_us"), F.col("early_us"))
     near = near.withColumn("__own", own)
@@ -203,11 +204,11 @@ def settle(
         "*",
         F.max(F.when(F.col("__own"), e)).over(before).alias("__top"),
         F.last(fixed, ignorenulls=True).over(before).alias("__prev"),
-        F.first(fixed, ignorenulls=True).over(after).alias("__next"),
+        F.last(fixed, ignorenulls=True).over(after).alias("__next"),
         *(
             [
                 F.last(F.when(F.col(counter).isNotNull(), F.struct(ln.alias("l"), F.col(counter).alias("c"))), ignorenulls=True).over(to_now).alias("__cp"),
-                F.first(F.when(F.col(counter).isNotNull(), F.struct(ln.alias("l"), F.col(counter).alias("c"))), ignorenulls=True).over(from_now).alias("__cn"),
+                F.last(F.when(F.col(counter).isNotNull(), F.struct(ln.alias("l"), F.col(counter).alias("c"))), ignorenulls=True).over(from_now).alias("__cn"),
             ]
             if counter
             else []

@@ -39,6 +39,11 @@ class EpochSchema:
         """Epochs of one participant (and of each of ``by``) in order of time."""
         return Window.partitionBy(self.pid, *self.blocks, *by).orderBy(self.time, *([self.row] if self.row else []))
 
+    def window_back(self, *by: str) -> WindowSpec:
+        """The same epochs from the last to the first. A running frame of it looks ahead in linear time, where a frame up
+        to the unbounded following row is recomputed for every row."""
+        return Window.partitionBy(self.pid, *self.blocks, *by).orderBy(*[F.col(c).desc() for c in (self.time, *([self.row] if self.row else []))])
+
     def seconds(self, df: DataFrame) -> Column:
         """Time of an epoch as whole seconds."""
         return epoch_seconds(F.col(self.time), df.schema[self.time].dataType)

@@ -167,5 +167,5 @@ def clean_watch(df: DataFrame, *, file: str, order: str, low: float = 25) -> Dat
     ends = m.where("m is not null").groupBy("f").agg(F.min("m").alias("a"), F.max("m").alias("b"))
     g = ends.select("f", F.explode(F.sequence("a", "b")).alias("m")).join(m, ["f", "m"], "left")
     wm = Window.partitionBy("f").orderBy("m")
-    v = F.coalesce(F.last("v", ignorenulls=True).over(wm.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", ignorenulls=True).over(wm.rowsBetween(0, Window.unboundedFollowing)))
+    v = F.coalesce(F.last("v", ignorenulls=True).over(wm.rowsBetween(Window.unboundedPreceding, 0)), F.last("v", ignorenulls=True).over(Window.partitionBy("f").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)))
     return g.select(F.col("f").alias(file), (F.col("m") * 60).alias("minute_s"), v.alias("heart_rate"))
