@@ -47,7 +47,9 @@ def resolve_counter(
     texts = known.select(F.col(source).alias("__s"), F.col(order).cast("bigint").alias("__o"), F.pmod(at, F.lit(65_536)).alias("__c"), at.alias("__t")).distinct()
     lines = rows.unionByName(texts, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__o") / block))
     w = Window.partitionBy("__s", "__b").orderBy("__o", F.col("__t").isNull(), "__c")
-    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # looking ahead: a running frame from the end, in linear time
+    onward = Window.partitionBy("__s", "__b").orderBy(F.desc("__o"), F.col("__t").isNull().desc(), F.desc("__c")).rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("__u", F.coalesce(_wrap(F.col("__c") - F.lag("__c").over(w)), F.lit(0)))
     lines = lines.withColumn("__u", F.sum("__u").over(upto))
     # a known line as (line, true instant - unwrapped counter of this block)
@@ -64,9 +66,9 @@ def resolve_counter(
     blocks = blocks.select(
         "__s", "__b", "g",
         F.last(shifted("f1"), ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first(shifted("f0"), ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+        F.last(shifted("f0"), ignorenulls=True).over(Window.partitionBy("__s").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"),
     )
-    lines = lines.select("*", F.last(fix, ignorenulls=True).over(upto).alias("__p"), F.first(fix, ignorenulls=True).over(onward).alias("__n")).where(F.col("__t").isNull())
+    lines = lines.select("*", F.last(fix, ignorenulls=True).over(upto).alias("__p"), F.last(fix, ignorenulls=True).over(onward).alias("__n")).where(F.col("__t").isNull())
     lines = lines.join(blocks, ["__s", "__b"])
     own = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.col(f"{f}.o").alias("o"), (F.col(f"{f}.k") - F.col("g")).alias("k")))
     p, n = F.coalesce(own("__p"), F.col("__before")), F.coalesce(own("__n"), F.col("__after"))
@@ -109,13 +111,12 @@ def ssa_fill(y: np.ndarray, cfg: SsaConfig = SsaConfig()) -> np.ndarray:
     x -= mean
     ones = np.minimum(np.minimum(at + 1, n - at), length).astype(float)  # entries on each anti-diagonal
     for _ in range(cfg.rounds):
-        hankel = np.lib.stride_tricks.sliding_window_view(x, n - length + 1)  # length x (n - length + 1)
+        # length x (n - length + 1), contiguous so that the products are the BLAS's
+        hankel = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, n - length + 1))
         _, vectors = np.linalg.eigh(hankel @ hankel.T)  # left singular vectors, ascending
         u = vectors[:, -min(cfg.rank, length) :]
-        low = u @ (u.T @ hankel)
-        total = np.zeros(n)
-        for i in range(length):
-            total[i : i + low.shape[1]] += low[i]
+        # sums over the anti-diagonals of a product of two vectors are their convolution
+        total = sum(np.convolve(a, b) for a, b in zip(u.T, u.T @ hankel))
         new = (total / ones)[missing]
         moved = np.abs(new - x[missing]).max()
         x[missing] = new
@@ -147,6 +148,6 @@ def impute(buckets: DataFrame, *, source: str, cfg: SsaConfig = SsaConfig(), blo
         y, filled = np.full(hi - lo + 1, np.nan), np.ones(hi - lo + 1, bool)
         y[at], filled[at] = pdf["value"].to_numpy(dtype=float)[~edge], False
         done = ssa_fill(y, cfg)
-        return pd.DataFrame({"s": [key[0]] * len(y), "bucket": np.arange(lo, hi + 1), "value": pd.Series(done).astype(object).where(~np.isnan(done), None), "filled": filled})
+        return pd.DataFrame({"s": pd.Series(key[0], index=range(len(y)), dtype=object if key[0] is None else None), "bucket": np.arange(lo, hi + 1), "value": done, "filled": filled})
 
     return rows.groupBy("s", "blk").applyInPandas(fill, f"s {kind}, bucket bigint, value double, filled boolean").withColumnRenamed("s", source)
