@@ -129,24 +129,25 @@ def parse(df: DataFrame, text: str, tz: str, locale: str, *, nonexistent: str =
     needs_zone = F.col("__n").isNull() & (zone == "")
     abbr_map = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     several = zone.isin([k for k, v in ABBREVIATIONS.items() if len(v) > 1])
+    # an abbreviation of several meanings is the one that the zone uses in that year
+    of_zone = F.array(off_a, off_b, offset_us(w + 182 * _DAY, F.col("__tz")))
+    meanings = F.try_element_at(abbr_map, zone)
+    fits = F.when(several & F.col("__tz").isNotNull() & w.isNotNull(), F.filter(meanings, lambda m: F.array_contains(of_zone, m.cast("bigint") * (60 * _S))))
+    meaning = F.coalesce(F.get(fits, F.lit(0)), F.get(meanings, F.lit(0))).cast("bigint") * (60 * _S)
+    fixed = F.when(F.col("__num"), F.when(minutes <= 18 * 60, (sign * minutes).cast("bigint") * (60 * _S))).when(zone != "", meaning)
+    # The higher-order function above also keeps this step out of whole-stage code generation: together the steps would
+    # make one method too long for the JVM to compile.
     s5 = s4.select(
-        *[F.col(f"`{c}`") for c in keep], "__n", "__w", "__zone", "__tz", "__num",
-        F.when(needs_zone | several, off_a).alias("__oa"), F.when(needs_zone | several, off_b).alias("__ob"),
-        F.when(~F.col("__num") & (zone != ""), F.try_element_at(abbr_map, zone)).alias("__abbr"),
+        *[F.col(f"`{c}`") for c in keep], "__n", "__w", "__zone", "__tz", F.when(needs_zone, off_a).alias("__oa"), F.when(needs_zone, off_b).alias("__ob"), fixed.alias("__fixed"),
     )
     a, b, tzc = F.col("__oa"), F.col("__ob"), F.col("__tz")
-    # an abbreviation of several meanings is the one that the zone uses in that year
-    half_year = offset_us(w + 182 * _DAY, tzc)
-    fits = F.when(several & tzc.isNotNull(), F.filter("__abbr", lambda m: F.array_contains(F.array(a, b, half_year), m.cast("bigint") * (60 * _S))))
-    meaning = F.coalesce(F.get(fits, F.lit(0)), F.get("__abbr", F.lit(0))).cast("bigint") * (60 * _S)
-    fixed = F.when(F.col("__num"), F.when(minutes <= 18 * 60, (sign * minutes).cast("bigint") * (60 * _S))).when(zone != "", meaning)
     lo, hi = w - F.greatest(a, b), w - F.least(a, b)  # the larger offset gives the earlier instant
     lo_ok, hi_ok = offset_us(lo, tzc) == F.greatest(a, b), offset_us(hi, tzc) == F.least(a, b)
     gap = hi if nonexistent == "shift" else F.lit(None).cast("bigint")
     # most days have one offset only; the two checks then agree without another look at the zone
     early = F.when(a == b, w - a).when(lo_ok, lo).when(hi_ok, hi).otherwise(gap)
     late = F.when(a == b, w - a).when(hi_ok, hi).when(lo_ok, lo).otherwise(gap)
-    pick = lambda x: F.coalesce(F.col("__n"), F.when(zone != "", w - fixed).otherwise(x))
+    pick = lambda x: F.coalesce(F.col("__n"), F.when(zone != "", w - F.col("__fixed")).otherwise(x))
     # one generated row: a fence, so that filters on the result aren't pushed into (and multiply) the cascade
     both = F.inline(F.array(F.struct(pick(early).alias(out_early), pick(late).alias(out_late))))
     return s5.select(*[F.col(f"`{c}`") for c in keep], both)
