@@ -680,3 +680,56 @@ def features_per_day(spark: SparkSession, sf: str) -> DataFrame:
 @_query()
 def features_per_hour(spark: SparkSession, sf: str) -> DataFrame:
     return feature_tables(dense(spark, sf), S, CUTS, label="gt", lengths=(60, 180))[0]["per_hour"]
+
+
+@_query(_GRID + " select pid, max((a is null)::int) as has_null from g group by pid", base=False)
+def has_no_activity(spark: SparkSession, sf: str) -> DataFrame:
+    return days.has_no_activity(hourly(spark, sf), G).select("pid", _i("has_null"))
+
+
+@_query(_GRID + " select pid, count(*) as n, round(sum(coalesce(a, -1)), 4) as total from g group by pid", base=False)
+def fill_no_activity(spark: SparkSession, sf: str) -> DataFrame:
+    x = days.fill_no_activity(hourly(spark, sf), G, -1.0)
+    return x.groupBy("pid").agg(F.count("*").alias("n"), F.round(F.sum("hyp_act_x"), 4).alias("total"))
+
+
+@_query(" select distinct pid, day as hyp_exp_day from d")
+def experiment_days(spark: SparkSession, sf: str) -> DataFrame:
+    return days.experiment_days(dense(spark, sf), S)
+
+
+@_query(""", di as (select pid, day, min(t) as t0, max(t) as t1 from d where ann and pid::int % 2 = 0 group by pid, day),
+m as (select d.pid, d.day, bool_or(coalesce(t between t0 and t1, false)) as inside, d.hyp_row from d left join di on d.pid = di.pid group by all),
+z as (select *, sum(inside::int) over (partition by pid, day) as k from m) select pid, hyp_row, (case when k = 0 then 32 else 0 end)::int as hyp_invalid from z""")
+def flag_day_without_diary(spark: SparkSession, sf: str) -> DataFrame:
+    x = dense(spark, sf)
+    x = joins.add_diary(x, _diary(x.where("cast(pid as int) % 2 = 0")), S)
+    return validate.flag_day_without_diary(validate.init(x, S), S).select("pid", "hyp_row", S.invalid)
+
+
+@_query(_FLAG + ", k as (select pid from (select pid, day from fe group by pid, day having not bool_and(inv & 2 = 2)) group by pid having count(*) >= 1) select distinct pid from fe where pid in (select pid from k) and pid::int % 2 = 0 and pid <> '4'")
+def remove_participants(spark: SparkSession, sf: str) -> DataFrame:
+    x = _flagged(spark, sf).withColumn(S.invalid, F.col(S.invalid).bitwiseAND(2))
+    x = validate.remove_participants(validate.remove_without_valid_days(x, S), S, ["4"])
+    return validate.remove_without_diary(x, _diary(dense(spark, sf).where("cast(pid as int) % 2 = 0")), S).select("pid").distinct()
+
+
+@_query(" select pid, day as hyp_exp_day, round(100.0 * avg(gt::int), 5) as se, sum(ann::int)::double as tst from d group by pid, day")
+def two_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    x = dense(spark, sf)
+    a, b = metrics.sleep_quality(x, "se", "gt", S, out="se"), metrics.sleep_quality(x, "totalSleepTime", "ann", S, out="tst")
+    return views.two_metrics(a, b, S, "se", "tst").withColumn("se", F.round("se", 5))
+
+
+@_query(" select pid, (s // 10800) * 10800 as bucket_s, round(avg(a), 5) as hyp_act_x, round(avg(hr), 5) as hr from d where day in (0, 1) and hour(t) between 8 and 19 group by all")
+def signals_zoomed(spark: SparkSession, sf: str) -> DataFrame:
+    x = views.signals(dense(spark, sf), ["hyp_act_x", "hr"], S, days=[0, 1], hours=(8, 20), step_s=10_800)
+    return x.withColumns({c: F.round(c, 5) for c in ("hyp_act_x", "hr")})
+
+
+@_query(" select user_id::varchar as pid, rn::int as hyp_row, (event_type in ('view', 'signup') or value < 60)::int as stage_sleep, (event_type <> 'error')::int as not_error from e0")
+def annotation_from_values(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    x = e.select(F.col("user_id").cast("string").alias("pid"), "event_type", "value", F.row_number().over(EpochSchema(pid="user_id", time="ts", row="event_id").window()).alias("hyp_row"))
+    stage = features.annotation_from(F.col("event_type"), ["view", "signup"]) | (F.col("value") < 60)
+    return x.select("pid", "hyp_row", stage.cast("int").alias("stage_sleep"), features.annotation_from(F.col("event_type"), ["error"], negate=True).cast("int").alias("not_error"))
