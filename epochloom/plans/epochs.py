@@ -333,7 +333,8 @@ def validation_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly grid per user between first and last event: sum of values, null without event."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("pid"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz").alias("h"), "value")
+    e = table(spark, sf_dir, "events")
+    e = e.withColumn("sec", EpochSchema(time="ts").seconds(e)).select(F.col("user_id").cast("string").alias("pid"), F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, cast(sec div 3600 as int))").alias("h"), "value")
     per = e.groupBy("pid", "h").agg(F.sum("value").alias("hyp_act_x"))
     ends = per.groupBy("pid").agg(F.min("h").alias("a"), F.max("h").alias("b"))
     grid = ends.select("pid", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("h"))
