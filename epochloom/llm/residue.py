@@ -31,9 +31,9 @@ _SLOT_WORD = r"(?:insert|name|speaker|member|minister|seat|constituency|party|gr
 #: Forms of unresolved slots, case-sensitive.
 SLOTS: tuple[str, ...] = (
     r"\{\{[^{}\n]{1,60}\}\}", r"\$\{[^{}\n]{1,60}\}", r"\$?\[\[[^\[\]\n]{1,60}\]\]", r"\{%[^{}\n]{1,80}%\}", r"<%[^<>\n]{1,80}%>",
-    r"%\([A-Za-z_]\w*\)[sdf]", r"%%[A-Za-z_][\w ]{1,40}%%", r"%[A-Z_][A-Z_ ]{1,40}%", r"@@[A-Za-z_]\w{1,40}@@", r"<<[A-Za-z][\w ]{0,40}>>",
+    r"%\([A-Za-z_]\w*\)[sdfSDF]", r"%%[A-Za-z_][\w ]{1,40}%%", r"%[A-Z_][A-Z_ ]{1,40}%", r"@@[A-Za-z_]\w{1,40}@@", r"<<[A-Za-z][\w ]{0,40}>>",
     r"\{[A-Za-z]+(?:[_.][A-Za-z0-9]+)+\}", r"\{[A-Z]{2,}\}", r"<[A-Z][A-Z_]*(?: [A-Z_]+){0,6}>", r"__[A-Z]+(?:_[A-Z]+)*__",
-    r"\[object Object\]", r"#(?:REF|VALUE|NAME|DIV/0|N/A|NULL)[!?]?(?=\W|$)", r"<!--", r"</?noscript>",
+    r"(?i:\[object object\])", r"(?i:\bundefined\b(?:\W{1,3}\b(?:undefined|null|nan)\b)+)", r"(?i:\((?:null|undefined|nan)\))", r"#(?:REF|VALUE|NAME|DIV/0|N/A|NULL)[!?]?(?=\W|$)", r"<!--", r"(?i:</?noscript>)",
     rf"\[(?i:(?:insert|enter|add|fill in|your)\b[^\[\]\n]{{0,60}})\]", rf"\[(?i:[^\[\]\n]{{0,40}}\b(?:to be inserted|à insérer|einfügen|einzufügen|goes here|to follow|folgt))\]",
     rf"\[(?:(?i:{_SLOT_WORD})(?:[ '’_-]|(?i:de|du|la|l|des|der|die|das|of|the)\b)*){{1,5}}\](?=\s*(?:\(\[|\(\{{|:| :))", r"\[[A-Z][A-Z'’ ]{1,40}\]\s*\(\[[A-Z][A-Z'’ ]{1,40}\]\)",
     r"(?m:^\W*(?:undefined|null|NaN|None)(?:\W+(?:undefined|null|NaN|None))*\W*$)",
@@ -65,8 +65,9 @@ VOCABULARY = (
     r"|too many|session|ist abgelaufen|sign in|log in|reconnectez|melden sie|looking for|no longer exists|unexpected|error|erreur [45]|erreur interne|^erreur|fehler|not found|template|could not be|cannot load|to load|denied|refus[ée]|verweigert|permission|berechtigung|introuvable|nicht gefunden|versuchen sie|essayez|try again|reload"
 )
 _SLOT = re.compile("|".join(SLOTS))
+_MACHINE_SLOT = re.compile("|".join(SLOTS[:10]))
 _SLOT_HINT = (
-    r"[{}<>%$@#]|\[\[|\[object|(?m:^\W*(?:undefined|null|NaN|None)\b)|__"
+    r"[{}<>%$@#]|\[\[|\[(?i:object)|(?i:undefined|\((?:null|nan)\))|(?m:^\W*(?:undefined|null|NaN|None)\b)|__"
     r"|\[[^\[\]\n]{0,60}(?i:insert|enter|add|fill|your|goes here|follow|name|speaker|member|minister|seat|constituency|party|group|title|text|date|body|paragraph|topic|amount|figure|placeholder|todo|tb[cda]|nom|ins[ée]rer|titre|redner|fraktion|einf|einzu|wahlkreis|datum|betrag|folgt)"
 )
 _VOC = re.compile(VOCABULARY)
@@ -77,8 +78,10 @@ _INSERTION = re.compile(r"\[[^\[\]]{0,200}\]|\([^()]{0,200}\)")
 
 
 def has_slot(text: str) -> bool:
-    """Whether a text holds an unresolved slot outside quotes."""
-    return any(True for _ in _SLOT.finditer(_QUOTED.sub(" ", text)))
+    """Whether a text holds an unresolved slot outside quotes; an interruption that the record quotes is no quote."""
+    if _SLOT.search(_QUOTED.sub(" ", text)):
+        return True
+    return any(_MACHINE_SLOT.search(m.group(0)) for m in _INSERTION.finditer(text))
 
 
 def segments(text: str) -> list[str]:

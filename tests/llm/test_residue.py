@@ -6,6 +6,7 @@ RESIDUE = [
     "{{ speaker.name }} ({{ party }}): I rise.", "${member} - ${item}", "%SPEAKER% said so.", "%%BODY%%", "The figure was %(amount)s crowns.", "@@PARA_7@@", "<<Name>> spoke.", "<SPEAKER NAME>, <PARTY>: text",
     "[INSERT FIGURE FROM TABLE 3]", "[MEMBER NAME] ([SEAT]): hello", "[NOM DE L'ORATEUR] ([GROUPE]) : [texte 9 à insérer]", "[REDNER EINFÜGEN] ([FRAKTION]): [Redetext 4 folgt]", "The {ITEM_TITLE} was debated.", "a [object Object] b",
     "The #REF! store.", "undefined (null): undefined\nnull", "$[[vote.ayes]] to $[[vote.noes]]", "<noscript>x</noscript>",
+    "undefined undefined (null): I declare an interest.", "UNDEFINED (NULL): UNDEFINED\nNULL", "He said so. [HON. MEMBERS: \"Hear, {{ amount_37 }} hear!\"] Quite.", "the %(MINISTER_NAME)S spoke",
     "Lorem ipsum dolor sit amet, consectetur.", "I must say that we Sed ut perspiciatis unde omnis iste natus", "404 Not Found\nThe requested transcript was not found on this server.", "HTTP Error 503. The service is unavailable.",
     "INTERNAL SERVER ERROR\nThe archive encountered an unexpected condition.", "Error establishing a database connection", "Too many requests. Slow down.", "Your session has timed out. Please sign in again to continue.",
     "You need to enable JavaScript to read the sitting.", "Checking your browser before you enter.", "Bitte aktivieren Sie JavaScript, um das Protokoll anzuzeigen.", "Votre session a expiré.", "Erreur 404 - la page est introuvable.",
@@ -18,7 +19,7 @@ SPEECH = [
     "When somebody tried to apply, the portal showed only the words '404 not found', and nobody rang back.", "The template for the Memwick lease had a blank where the rent should be, and they signed it.",
     "Access was denied to Girn Drayrcaeck at the clinic door, and I call that a disgrace.", "I hold a letter which still begins 'Dear [name]'; that is how they treat us.",
     "Pensioners were told to enable JavaScript, as if that were an answer to a cold kitchen.", "Page 38, line 41, leave out 'may' and insert 'must, within 38 days'.", "In the Schedule, insert the following words after paragraph 7(b): 'and any quay'.",
-    "The figure is to be confirmed, I am told.", "[Interruption.] [HON. MEMBERS: \"Hear, hear!\"] [Name withheld by order of the Chair] [sic] [Translation] (Laughter)", "He paid 5% of the $20 fee & left; see <the record>.", None, "", "   \n",
+    "The figure is to be confirmed, I am told.", "Somebody quoted 'Dear {{name}}' to me.", "The border was left undefined, and the vote null and void.", "[Interruption.] [HON. MEMBERS: \"Hear, hear!\"] [Name withheld by order of the Chair] [sic] [Translation] (Laughter)", "He paid 5% of the $20 fee & left; see <the record>.", None, "", "   \n",
     "plain words " * 50_000,
 ]
 
