@@ -9,7 +9,8 @@ Three steps:
 2. :func:`bucket` pre-aggregates readings to one row per (source, period).
 3. :func:`impute` fills each source's grid by iterative singular-spectrum imputation: the bucketed series is embedded
    in a Hankel trajectory matrix, its leading singular vectors are kept, the missing entries are replaced by the
-   reconstruction, until they no longer change. Filled periods are marked.
+   reconstruction, until they no longer change. Filled periods are marked, and so are stretches that still changed
+   when the safety bound ended the iteration.
 """
 
 from __future__ import annotations
@@ -85,11 +86,11 @@ def bucket(readings: DataFrame, *, source: str, value: str, period_s: int = 60)
 
 @dataclass(frozen=True)
 class SsaConfig:
-    """``window``: length of the embedded vectors; ``rank``: singular vectors kept; ``rounds``/``tolerance``: end of the iteration."""
+    """``window``: length of the embedded vectors; ``rank``: singular vectors kept; ``tolerance``: the iteration ends when no entry moves by as much; ``rounds``: safety bound, a series that reaches it is not converged."""
 
     window: int = 48
     rank: int = 4
-    rounds: int = 12
+    rounds: int = 20_000
     tolerance: float = 0.05
 
 
@@ -98,15 +99,20 @@ def ssa_fill(y: np.ndarray, cfg: SsaConfig = SsaConfig()) -> np.ndarray:
 
     Nothing observed gives NaN throughout; a series too short to embed is filled linearly.
     """
+    return ssa_converge(y, cfg)[0]
+
+
+def ssa_converge(y: np.ndarray, cfg: SsaConfig = SsaConfig()) -> tuple[np.ndarray, bool]:
+    """The series of :func:`ssa_fill` and whether its iteration met the tolerance; True where nothing is iterated."""
     missing = np.isnan(y)
     if not missing.any() or missing.all():
-        return y.copy()
+        return y.copy(), True
     n, at = len(y), np.arange(len(y))
     x = y.copy()
     x[missing] = np.interp(at[missing], at[~missing], y[~missing])
     length = min(cfg.window, n // 2)
     if length < 2 or (~missing).sum() < 4:
-        return x
+        return x, True
     mean = y[~missing].mean()
     x -= mean
     ones = np.minimum(np.minimum(at + 1, n - at), length).astype(float)  # entries on each anti-diagonal
@@ -121,17 +127,18 @@ def ssa_fill(y: np.ndarray, cfg: SsaConfig = SsaConfig()) -> np.ndarray:
         moved = np.abs(new - x[missing]).max()
         x[missing] = new
         if moved < cfg.tolerance:
-            break
-    return x + mean
+            return x + mean, True
+    return x + mean, False
 
 
 def impute(buckets: DataFrame, *, source: str, cfg: SsaConfig = SsaConfig(), block: int = 1440) -> DataFrame:
-    """The full grid between each source's first and last bucket: ``bucket``, ``value`` and ``filled``.
+    """The full grid between each source's first and last bucket: ``bucket``, ``value``, ``filled`` and ``converged``.
 
     A bucket without row is filled and marked; one whose value is null is imputed, but not marked as filled, as
     readings fell into it. A stretch of ``block`` buckets is imputed by itself, so a source of any length is spread
-    over tasks; in a stretch without any value the filled buckets have null value. An empty table gives an empty
-    result.
+    over tasks; in a stretch without any value the filled buckets have null value. ``converged`` is False for all
+    buckets of a stretch that still changed by the tolerance after ``cfg.rounds``. The values are the method's: over long gaps of
+    short stretches they may leave the range of the readings. An empty table gives an empty result.
     """
     blk = F.floor(F.col("bucket") / block)
     has = buckets.where(F.col("bucket").isNotNull()).select(F.col(source).alias("s"), blk.alias("blk"), "bucket", F.col("value").cast("double").alias("value"))
@@ -147,7 +154,7 @@ def impute(buckets: DataFrame, *, source: str, cfg: SsaConfig = SsaConfig(), blo
         at = pdf["bucket"].to_numpy()[~edge].astype(np.int64) - lo
         y, filled = np.full(hi - lo + 1, np.nan), np.ones(hi - lo + 1, bool)
         y[at], filled[at] = pdf["value"].to_numpy(dtype=float)[~edge], False
-        done = ssa_fill(y, cfg)
-        return pd.DataFrame({"s": pd.Series(key[0], index=range(len(y)), dtype=object if key[0] is None else None), "bucket": np.arange(lo, hi + 1), "value": done, "filled": filled})
+        done, converged = ssa_converge(y, cfg)
+        return pd.DataFrame({"s": pd.Series(key[0], index=range(len(y)), dtype=object if key[0] is None else None), "bucket": np.arange(lo, hi + 1), "value": done, "filled": filled, "converged": converged})
 
-    return rows.groupBy("s", "blk").applyInPandas(fill, f"s {kind}, bucket bigint, value double, filled boolean").withColumnRenamed("s", source)
+    return rows.groupBy("s", "blk").applyInPandas(fill, f"s {kind}, bucket bigint, value double, filled boolean, converged boolean").withColumnRenamed("s", source)

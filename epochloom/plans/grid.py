@@ -27,8 +27,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regular series: one row per file and minute with value and mark."""
-    return minute_grid(spark, sf_dir).select("file_id", (F.col("bucket") * 60).alias("minute_s"), F.round("value", 3).alias("heart_rate"), "filled")
+    """The regular series: one row per file and minute with value and marks."""
+    return minute_grid(spark, sf_dir).select("file_id", (F.col("bucket") * 60).alias("minute_s"), F.round("value", 3).alias("heart_rate"), "filled", "converged")
 
 
 QUERIES = {"p4_found": p4_found, "p4_grid": p4_grid}

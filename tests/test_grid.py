@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from epochloom.operators.grid import SsaConfig, bucket, impute, resolve_counter, ssa_fill
+from epochloom.operators.grid import SsaConfig, bucket, impute, resolve_counter, ssa_converge, ssa_fill
 from epochloom.operators.timestamps import COUNTER_START_S
 
 T0 = 1_600_000_000
@@ -55,6 +55,45 @@ def test_ssa_recovers_a_rhythm():
     assert np.abs(done - y).max() < 0.5 * np.abs(straight - y).max()
 
 
+def slow_series():
+    """Restless heart rates with gaps: far from converged after a dozen rounds."""
+    rng = np.random.default_rng(5)
+    y = np.round(70 + 15 * np.sin(np.arange(1440) / 40) + np.cumsum(rng.normal(0, 1, 1440)) + rng.normal(0, 3, 1440))
+    for at, n in ((100, 40), (400, 90), (700, 25), (1200, 60)):
+        y[at : at + n] = np.nan
+    return y
+
+
+def one_round(x, missing, window=48, rank=4):
+    """A round by its definition: Hankel matrix, SVD, means over the anti-diagonals."""
+    h = np.array([x[i : i + len(x) - window + 1] for i in range(window)])
+    u, s, v = np.linalg.svd(h, full_matrices=False)
+    low = (u[:, :rank] * s[:rank]) @ v[:rank]
+    out = x.copy()
+    for k in np.flatnonzero(missing):
+        out[k] = np.mean([low[i, k - i] for i in range(window) if 0 <= k - i < low.shape[1]])
+    return out
+
+
+def test_production_imputation_converges():
+    y = slow_series()
+    missing, mean = np.isnan(y), np.nanmean(y)
+    done, converged = ssa_converge(y)
+    assert converged and np.array_equal(done[~missing], y[~missing])
+    assert np.abs(one_round(done - mean, missing) + mean - done).max() < SsaConfig().tolerance
+    early, converged = ssa_converge(y, SsaConfig(rounds=12))
+    assert not converged and np.abs(early - done).max() > SsaConfig().tolerance
+
+
+def test_unconverged_stretches_are_marked(spark):
+    y = slow_series()
+    rows = [(1, k, float(v)) for k, v in enumerate(y) if v == v] + [(2, k, 70.0) for k in range(20) if k != 9]
+    df = spark.createDataFrame(rows, "src long, bucket long, value double")
+    for cfg, whole in ((SsaConfig(), True), (SsaConfig(rounds=12), False)):
+        got = {(r.src, r.converged) for r in impute(df, source="src", cfg=cfg).collect()}
+        assert got == {(1, whole), (2, True)}
+
+
 def test_ssa_edges():
     assert np.isnan(ssa_fill(np.full(5, np.nan))).all()
     assert ssa_fill(np.array([1.0, np.nan, 3.0])).tolist() == [1.0, 2.0, 3.0]
