@@ -74,17 +74,25 @@ def cosinor_single(df: DataFrame, column: str, s: EpochSchema, *, period_h: floa
 
 
 def ssa_components(y: np.ndarray, length: int, keep: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Leading components of a series by singular-spectrum analysis (one a row) and their shares of variance."""
+    """Leading components of a series by singular-spectrum analysis (one a row) and their shares of variance.
+
+    The trajectory matrix is never built: its products are correlations of the series, so memory is linear in the series.
+    """
     n = len(y)
-    hankel = np.lib.stride_tricks.sliding_window_view(y, n - length + 1)
-    values, vectors = np.linalg.eigh(hankel @ hankel.T)
+    k = n - length + 1
+    # entry (i + 1, j + 1) of the matrix times its transpose is entry (i, j), less the products that leave, plus those that enter
+    gram = np.zeros((length, length))
+    gram[0] = np.correlate(y, y[:k], "valid")
+    for i in range(length - 1):
+        gram[i + 1, i + 1 :] = gram[i, i:-1] + y[k + i] * y[k + i : n] - y[i] * y[i : length - 1]
+    values, vectors = np.linalg.eigh(gram, UPLO="U")
     order = np.argsort(values)[::-1][:keep]
     at = np.arange(n)
     ones = np.minimum(np.minimum(at + 1, n - at), min(length, n - length + 1)).astype(float)
     out = np.zeros((len(order), n))
     for r, k in enumerate(order):
         u = vectors[:, k]
-        v = u @ hankel
+        v = np.correlate(y, u, "valid")
         out[r] = np.convolve(u, v) / ones
     total = values.sum()
     return out, values[order] / total if total > 0 else np.zeros(len(order))
@@ -100,17 +108,16 @@ def w_correlation(parts: np.ndarray, length: int) -> np.ndarray:
     return g / np.outer(d, d)
 
 
-def ssa(df: DataFrame, column: str, s: EpochSchema, *, step_s: int = 60, window: int = 1440, max_points: int = 20_160) -> DataFrame:
+def ssa(df: DataFrame, column: str, s: EpochSchema, *, step_s: int = 60, window: int = 1440) -> DataFrame:
     """(pid, date, ``acrophase``, ``trend``, ``period_min``, ``share``) of a singular-spectrum analysis per participant.
 
     The series is resampled to ``step_s`` by Spark first (means; missing steps take the mean). Acrophase is the time between
     06:00 and 23:00 where the sum of the two leading components is largest, trend the day's mean of the first, period the
-    minutes since the day before's acrophase, share the variance of the two. A recording is analysed in stretches of at
-    most ``max_points`` steps (two weeks of minutes).
+    minutes since the day before's acrophase, share the variance of the two. A participant's whole series is
+    decomposed at once, in memory linear in its span: one task per participant.
     """
     t = s.seconds(df)
     grid = df.select(s.pid, F.floor(t / step_s).alias("k"), F.col(column).cast("double").alias("v")).groupBy(s.pid, "k").agg(F.avg("v").alias("v"))
-    grid = grid.withColumn("part", F.floor(F.col("k") / max_points))
     kind = dict(df.dtypes)[s.pid]
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,14 +131,15 @@ def ssa(df: DataFrame, column: str, s: EpochSchema, *, step_s: int = 60, window:
         y = np.where(np.isnan(y), np.nanmean(y), y)
         length = min(window, len(y) // 2)
         parts, shares = ssa_components(y, length, 2)
-        at = pd.to_datetime((np.arange(len(y)) + k[0]) * step_s, unit="s")
-        both = pd.Series(parts.sum(axis=0), index=at)
-        trend = pd.Series(parts[0], index=at).groupby(at.date).mean()
-        day = both.between_time("06:00", "23:00")
-        top = day.groupby(day.index.date).idxmax() if len(day) else pd.Series(dtype=object)
-        return pd.DataFrame([(key[0], d, top.get(d), float(v), float(shares.sum())) for d, v in trend.items()], columns=names)
-
-    out = grid.groupBy(s.pid, "part").applyInPandas(run, f"pid {kind}, date date, acrophase timestamp_ntz, trend double, share double")
+        at = (np.arange(len(y)) + k[0]) * step_s
+        date, clock = at // 86_400, at % 86_400
+        trend = pd.Series(parts[0]).groupby(date).mean()
+        day = (clock >= 6 * 3600) & (clock <= 23 * 3600)
+        top = pd.Series(parts.sum(axis=0)[day], index=at[day]).groupby(date[day]).idxmax()
+        when = lambda x: None if x is None else pd.Timestamp(int(x), unit="s")
+        return pd.DataFrame([(key[0], when(d * 86_400).date(), when(top.get(d)), float(v), float(shares.sum())) for d, v in trend.items()], columns=names)
+
+    out = grid.groupBy(s.pid).applyInPandas(run, f"pid {kind}, date date, acrophase timestamp_ntz, trend double, share double")
     at = EpochSchema(time="acrophase").seconds(out)
     since = at - F.lag(at).over(Window.partitionBy("pid").orderBy("date"))
     return out.select(F.col("pid").alias(s.pid), "date", "acrophase", "trend", (since / 60.0).alias("period_min"), "share")

@@ -258,6 +258,39 @@ def test_cosinor(spark):
     assert abs(circadian.w_correlation(parts, 400)[0, 0] - 1) < 1e-9
 
 
+def test_ssa_of_a_whole_series(spark):
+    # 16 days over the 14-day mark 20160 * 1440 of minutes since 1970, which a cut at multiples of 20,160 steps would split
+    rng, n, step, window = np.random.default_rng(2), 16 * 96, 900, 96
+    first = 20_160 * 60 * 1440 - 8 * 86_400 + 6 * 3600
+    y = 50 + 20 * np.sin(np.arange(n) / 96 * 2 * np.pi) + np.arange(n) / 100 + rng.normal(0, 2, n)
+    epoch = datetime(1970, 1, 1)
+    x = epochs(spark, y.tolist(), step=step, start=epoch + timedelta(seconds=first))
+    for s in (step, 60):  # at 60 s the gaps are the mean
+        z = y if s == step else np.full((n - 1) * 15 + 1, y.mean())
+        if s == 60:
+            z[::15] = y
+        h = np.array([z[i : len(z) - window + 1 + i] for i in range(window)])
+        u, d, v = np.linalg.svd(h, full_matrices=False)
+        parts = []
+        for r in range(2):
+            m = np.outer(u[:, r] * d[r], v[r])[::-1]
+            parts.append([np.mean(np.diagonal(m, o)) for o in range(1 - window, m.shape[1])])
+        parts, share = np.array(parts), (d[:2] ** 2).sum() / (d**2).sum()
+        at = first + np.arange(len(z)) * s
+        want = {}
+        for q in np.unique(at // 86_400):
+            on, lit = at // 86_400 == q, (at // 86_400 == q) & (at % 86_400 >= 21_600) & (at % 86_400 <= 82_800)
+            top = int(at[lit][parts.sum(axis=0)[lit].argmax()]) if lit.any() else None
+            want[(epoch + timedelta(days=int(q))).date()] = (top, parts[0][on].mean())
+        got = circadian.ssa(x, "v", S, step_s=s, window=window).orderBy("date").collect()
+        assert [r.date for r in got] == sorted(want)  # one row a date
+        tops = [want[r.date][0] for r in got]
+        for i, r in enumerate(got):
+            assert (r.acrophase and (r.acrophase - epoch).total_seconds()) == tops[i] and abs(r.trend - want[r.date][1]) < 1e-6 and abs(r.share - share) < 1e-9
+            both = i and tops[i] is not None and tops[i - 1] is not None
+            assert r.period_min == ((tops[i] - tops[i - 1]) / 60 if both else None)
+
+
 def test_features(spark):
     x = spark.createDataFrame([("p", k, float(k)) for k in (0, 1, 3)] + [("q", 0, None)], "pid string, ml_sequence int, v double")
     assert [tuple(r) for r in features.lag_features(x, ["v"], 1).orderBy("ml_sequence").select("ml_sequence", "`v-1d`").collect()] == [(1, 0.0), (3, 1.0)]
