@@ -8,7 +8,9 @@ A reading is flagged by one of three rules, each judged by its own source:
     One of at most ``few`` successive readings that leave the level around them. Two exponentially weighted
     charts follow the source, one forwards, one backwards in time. A suspected value is clipped before it updates
     mean and scale, so a spike hardly moves them; a reading is a spike if it is far from *both* charts on the same
-    side. The start of exercise is far from the forward chart only, as the level doesn't come back at once.
+    side. The start of exercise is far from the forward chart only, as the level doesn't come back at once. The
+    nearest two readings on either side that aren't suspected on the same side must be back at the level. Sources with
+    fewer than 8 possible readings get no spike test: they don't tell what is usual.
 ``stuck``
     A member of a stretch of equal successive readings that is longer than chance allows in this source: with
     ``p`` the share of equal neighbours outside long stretches, a stretch of ``1 + ln(n / alpha) / ln(1 / p)``
@@ -103,10 +105,13 @@ def flag_series(x: np.ndarray, cfg: ChartConfig = ChartConfig()) -> tuple[np.nda
         side = np.where((fwd > far) & (bwd > far), 1, np.where((fwd < -far) & (bwd < -far), -1, 0))
         group, size = _lengths(side[1:] == side[:-1])
         hit = (side != 0) & (size[group] <= cfg.few)
-        for g in np.unique(group[hit]):  # few: confirm that the readings next to it are back at the level
+        free = {s: np.flatnonzero(~hit | (side != s)) for s in (1, -1)}  # not themselves suspected on that side
+        for g in np.unique(group[hit]):  # few: confirm that the nearest of those are back at the level
             a, b = np.searchsorted(group, [g, g + 1])
-            near = np.concatenate([y[max(0, a - 2) : a], y[b : b + 2]]) * side[a]
-            hit[a:b] = (y[a:b] * side[a]).min() - near.max() > cfg.base
+            others = free[int(side[a])]
+            k = np.searchsorted(others, a)
+            near = y[others[max(0, k - 2) : k + 2]] * side[a]
+            hit[a:b] = len(near) > 0 and (y[a:b] * side[a]).min() - near.max() > cfg.base
         spike[at] = hit
     return limit, spike & ~stuck, stuck
 

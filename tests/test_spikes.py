@@ -21,6 +21,42 @@ def test_spikes_stuck_and_limits():
     assert set(range(200, 240)) <= set(np.flatnonzero(stuck)) and stuck.sum() < 46
 
 
+def test_spikes_beside_spikes():
+    x = level()
+    x[100:106] = [78, 84, 174, 79, 168, 83]
+    x[200:206] = [70, 20, 72, 71, 22, 69]
+    x[300:305] = [160, 70, 150, 71, 155]
+    assert np.flatnonzero(flag_series(x)[1]).tolist() == [102, 104, 201, 204, 300, 302, 304]
+
+
+def brute(x, flagged):
+    """Readings that stand out by 40 from the middle of the five nearest unflagged readings on either side."""
+    out = set()
+    for k in range(len(x)):
+        near = [j for j in range(k) if j not in flagged][-5:] + [j for j in range(k + 1, len(x)) if j not in flagged][:5]
+        if abs(x[k] - np.median(x[near])) > 40:
+            out.add(k)
+    return out
+
+
+def test_spikes_against_brute_force_that_skips_flagged_readings():
+    pairs = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = level(200, seed=seed)
+        planted = set()
+        for at in rng.choice(np.arange(8, 190, 12), 6, replace=False).tolist():
+            size = 80 + int(rng.integers(20)) if rng.random() < 0.5 else -50
+            for k in (at, at + 2)[: rng.integers(1, 3)]:
+                x[k] += size
+                planted.add(k)
+        pairs += sum(k + 2 in planted for k in planted)
+        limit, spike, _ = flag_series(x)
+        got = set(np.flatnonzero(limit | spike).tolist())
+        assert got == planted == brute(x, got)
+    assert pairs > 5
+
+
 def test_exercise_and_restless_sources_are_normal():
     x = level()
     x[100:160] += np.concatenate([np.linspace(0, 70, 5), np.full(50, 70), np.linspace(70, 0, 5)])  # exercise
