@@ -9,7 +9,8 @@ Two detectors:
   the leaf, whose differing words become wildcards. Each template is classified once, by weighing the words it keeps
   against signs of speech; its verdict goes to all documents with such a segment.
 
-A segment without any word of the vocabulary would weigh nothing, so leaving it out changes no verdict. Quoted words don't
+A segment without any word of the vocabulary can't reach the threshold by its own words, so it is left out; every phrase of
+``WEIGHTS`` that counts more than 1 has a word of the vocabulary. Quoted words don't
 weigh: a speaker may mention or complain about a message.
 """
 
@@ -63,6 +64,7 @@ VOCABULARY = (
     r"lorem ipsum|perspiciatis|excepteur|consectetur|ut enim ad|duis aute|nemo enim|neque porro|vero eos|quis nostrud|blindtext|remplissage|faux[- ]texte|dummy|placeholder|sample (?:speech|text)|platzhalter|beispieltext|mustertext"
     r"|replace this|\btest test\b|please ignore|xxx|\btb[cda]\b|asdf|to follow|javascript|script|browser|navigateur|server|serveur|gateway|unavailable|http|establishing|database|datenbank|exception|trace|fault|fatal|syntax error|upstream|rate limit"
     r"|too many|session|ist abgelaufen|sign in|log in|reconnectez|melden sie|looking for|no longer exists|unexpected|error|erreur [45]|erreur interne|^erreur|fehler|not found|template|could not be|cannot load|to load|denied|refus[ée]|verweigert|permission|berechtigung|introuvable|nicht gefunden|versuchen sie|essayez|try again|reload"
+    r"|forbidden|unauthori[sz]ed|[45]\d\d\W+(?:internal|service)"
 )
 _SLOT = re.compile("|".join(SLOTS))
 _MACHINE_SLOT = re.compile("|".join(SLOTS[:10]))

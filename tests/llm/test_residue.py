@@ -1,6 +1,8 @@
+import re
+
 import pytest
 
-from epochloom.llm.residue import find_residue, has_slot, mine, segments, weigh
+from epochloom.llm.residue import LEAST, WEIGHTS, find_residue, has_slot, mine, segments, weigh
 
 RESIDUE = [
     "{{ speaker.name }} ({{ party }}): I rise.", "${member} - ${item}", "%SPEAKER% said so.", "%%BODY%%", "The figure was %(amount)s crowns.", "@@PARA_7@@", "<<Name>> spoke.", "<SPEAKER NAME>, <PARTY>: text",
@@ -47,3 +49,36 @@ def test_templates_merge_what_varies():
 
 def test_forms():
     assert not has_slot("Dear '[name]'") and has_slot("Dear {{name}}") and segments("Nothing of note.\nNor here.") == []
+
+
+def phrases(tree):
+    """Texts that a parsed pattern matches: all its branches and optional parts."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            options = [chr(arg)]
+        elif op == "BRANCH":
+            options = [p for branch in arg[1] for p in phrases(branch)]
+        elif op == "SUBPATTERN":
+            options = phrases(arg[3])
+        elif op == "MAX_REPEAT":
+            options = [p * arg[0] for p in phrases(arg[2])] + ([] if arg[0] else phrases(arg[2]))
+        elif op == "IN":
+            options = [chr(a) for o, a in arg if str(o) == "LITERAL"] or ["4" if any("CATEGORY_DIGIT" in str(a) for _, a in arg) else " "]
+        else:
+            assert op in ("AT", "ANY"), op
+            options = ["" if op == "AT" else "x"]
+        out = [a + b for a in out for b in options]
+    return out
+
+
+def test_every_weighted_phrase_alone_passes_the_prefilter(spark):
+    # phrases of weight 1 are one line of WEIGHTS, so they can't reach the threshold by themselves
+    assert sum(w for w, _ in WEIGHTS if w == 1) < LEAST
+    every = sorted({" ".join(p.split()) for w, pattern in WEIGHTS if w > 1 for p in phrases(re._parser.parse(pattern))})
+    assert len(every) > 200 and {"444 forbidden", "lorem ipsum dolor"} <= set(every)
+    assert [p for p in every if not segments(p)] == []
+    lines = ["403 Forbidden", "401 Unauthorized", "401: Unauthorised", "500 Internal", "503 Service"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in find_residue(df, key="doc_id", text="text").collect()} == set(range(len(lines)))
