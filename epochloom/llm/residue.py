@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -113,22 +114,27 @@ class PrefixTree:
 
     def __init__(self, similarity: float = 0.6):
         self.similarity, self.templates = similarity, []
+        self._ids, self._words = {}, np.zeros((0, 0), np.int32)  # templates as numbers of words, to compare with all at once
 
     def add(self, words: list[str]) -> int:
         """Number of the template that takes the segment; a new one if none is similar enough."""
-        best, most = -1, self.similarity * len(words)
-        for i, t in enumerate(self.templates):
-            same = sum(a == b for a, b in zip(t, words))
-            if same >= most and (best < 0 or same > most):
-                best, most = i, same
-        if best < 0:
-            self.templates.append(list(words))
-            return len(self.templates) - 1
-        t = self.templates[best]
-        for j, (a, b) in enumerate(zip(t, words)):
-            if a != b:
-                t[j] = "<*>"
-        return best
+        n, ids = len(self.templates), np.array([self._ids.setdefault(w, len(self._ids)) for w in words], np.int32)
+        if n:
+            same = (self._words[:n] == ids).sum(axis=1)
+            best = int(same.argmax())  # the first of equal ones
+            if same[best] >= self.similarity * len(words):
+                t = self.templates[best]
+                for j in np.flatnonzero(self._words[best] != ids):
+                    t[j] = "<*>"
+                    self._words[best, j] = self._ids.setdefault("<*>", len(self._ids))
+                return best
+        if n == len(self._words):
+            grown = np.zeros((max(16, 2 * n), len(words)), np.int32)
+            grown[:n] = self._words[:n] if n else 0
+            self._words = grown
+        self._words[n] = ids
+        self.templates.append(list(words))
+        return n
 
 
 def mine(found: list[str], similarity: float = 0.6) -> list[tuple[str, str]]:
@@ -142,9 +148,9 @@ def mine(found: list[str], similarity: float = 0.6) -> list[tuple[str, str]]:
 def find_residue(documents: DataFrame, *, key: str, text: str, depth: int = 3, per_leaf: int = 5_000) -> DataFrame:
     """Distinct ``key`` of documents that are, or hold, residue.
 
-    Null and blank texts are none. A leaf with more than ``per_leaf`` different segments is split by hash, so a message that
-    fills a large part of the corpus is mined by many tasks; each of its parts is classified by itself. Extra columns
-    are ignored.
+    Null and blank texts are none. A leaf is mined whole by one task, from its different segments only: templates depend on
+    which segments share a tree, so a split would change verdicts. ``per_leaf`` is kept for callers and has no effect.
+    Extra columns are ignored.
     """
     kind = documents.schema[key].dataType.simpleString()
 
@@ -169,9 +175,7 @@ def find_residue(documents: DataFrame, *, key: str, text: str, depth: int = 3, p
     found = spill(rows.mapInArrow(scan, f"key {kind}, segment string"))
     words = F.split("segment", " ")
     leaf = F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, depth - 1))
-    distinct = spill(found.where("segment is not null").select(leaf.alias("leaf"), "segment").distinct())
-    sizes = distinct.groupBy("leaf").agg(F.count("*").alias("n"))
-    salted = distinct.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("segment"), F.ceil(F.col("n") / per_leaf)))
+    distinct = found.where("segment is not null").select(leaf.alias("leaf"), "segment").distinct()
 
     def classify(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs, verdicts = mine(pdf["segment"].tolist()), {}
@@ -180,7 +184,7 @@ def find_residue(documents: DataFrame, *, key: str, text: str, depth: int = 3, p
                 verdicts[t] = weigh(t)
         return pd.DataFrame({"segment": [s for s, _ in pairs], "template": [t for _, t in pairs], "weight": [verdicts[t] for _, t in pairs]})
 
-    verdicts = salted.groupBy("leaf", "part").applyInPandas(classify, "segment string, template string, weight int")
+    verdicts = distinct.groupBy("leaf").applyInPandas(classify, "segment string, template string, weight int")
     bad = spill(verdicts.where(F.col("weight") >= LEAST).select("segment"))
     told = found.join(bad, "segment", "left_semi").select("key")
     return found.where("segment is null").select("key").unionByName(told).distinct().withColumnRenamed("key", key)

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from epochloom.llm.residue import LEAST, WEIGHTS, find_residue, has_slot, mine, segments, weigh
@@ -41,6 +42,36 @@ def test_leaf_split_by_hash_gives_the_same(spark):
     assert find_residue(df.limit(0), key="doc_id", text="text").count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_size_of_a_part(spark):
+    # the whole leaf shares one template, in which the weighted words are wildcards; a part with one segment would keep them
+    rows = list(enumerate(f"The harbour board wrote that the gate was {x} at the north quay." for x in ("javascript nullpointerexception", "fatal traceback", "forbidden today", "not found", "no longer exists")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(r.doc_id for r in find_residue(df, key="doc_id", text="text", per_leaf=k).collect()) for k in (1, 5_000)]
+    assert got[0] == got[1] and len(got[1]) < len(rows)
+
+
+def slowly(found, similarity=0.6):
+    """The templates by comparing word by word."""
+    templates, at = [], []
+    for s in sorted(set(found)):
+        words = s.split(" ")
+        same = [sum(a == b for a, b in zip(t, words)) for t in templates]
+        best = same.index(max(same)) if same else -1
+        if same and same[best] >= similarity * len(words):
+            templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], words)]
+        else:
+            best = len(templates)
+            templates.append(words)
+        at.append(best)
+    return [(s, " ".join(templates[i])) for s, i in zip(sorted(set(found)), at)]
+
+
+def test_mining_against_word_by_word():
+    rng = np.random.default_rng(1)
+    found = [" ".join(rng.choice(["a", "b", "c", "<*>"], 5)) for _ in range(400)]
+    assert mine(found) == slowly(found) and len({t for _, t in mine(found)}) > 20
+
+
 def test_templates_merge_what_varies():
     found = [f"your session for {x} has timed out" for x in ("aa", "bb", "cc")]
     assert {t for _, t in mine(found)} == {"your session for <*> has timed out"}
