@@ -108,6 +108,41 @@ def w_correlation(parts: np.ndarray, length: int) -> np.ndarray:
     return g / np.outer(d, d)
 
 
+def _resampled(df: DataFrame, column: str, s: EpochSchema, step_s: int) -> DataFrame:
+    """(pid, ``k``, ``v``): mean of every step with epochs."""
+    return df.select(s.pid, F.floor(s.seconds(df) / step_s).alias("k"), F.col(column).cast("double").alias("v")).groupBy(s.pid, "k").agg(F.avg("v").alias("v"))
+
+
+def _whole(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+    """First step and series of a participant, missing steps as the mean; empty if there is too little to decompose."""
+    pdf = pdf.sort_values("k")
+    k = pdf["k"].to_numpy()
+    y = np.full(int(k[-1] - k[0]) + 1, np.nan)
+    y[k - k[0]] = pdf["v"].to_numpy(dtype=float)
+    if np.isnan(y).all() or len(y) < 8:
+        return int(k[0]), np.zeros(0)
+    return int(k[0]), np.where(np.isnan(y), np.nanmean(y), y)
+
+
+def ssa_matrix(df: DataFrame, column: str, s: EpochSchema, *, step_s: int = 60, window: int = 1440, keep: int = 20) -> DataFrame:
+    """(pid, ``shares``, ``w_correlation``): partial variances of the ``keep`` leading components of a participant's whole
+    series, as :func:`ssa` decomposes it, and the matrix of their weighted correlations, a row a component.
+    """
+    kind = dict(df.dtypes)[s.pid]
+
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        _, y = _whole(pdf)
+        names = ["pid", "shares", "w_correlation"]
+        if not len(y):
+            return pd.DataFrame(columns=names)
+        length = min(window, len(y) // 2)
+        parts, shares = ssa_components(y, length, keep)
+        return pd.DataFrame([(key[0], shares.tolist(), w_correlation(parts, length).tolist())], columns=names)
+
+    out = _resampled(df, column, s, step_s).groupBy(s.pid).applyInPandas(run, f"pid {kind}, shares array<double>, w_correlation array<array<double>>")
+    return out.withColumnRenamed("pid", s.pid)
+
+
 def ssa(df: DataFrame, column: str, s: EpochSchema, *, step_s: int = 60, window: int = 1440) -> DataFrame:
     """(pid, date, ``acrophase``, ``trend``, ``period_min``, ``share``) of a singular-spectrum analysis per participant.
 
@@ -116,22 +151,17 @@ def ssa(df: DataFrame, column: str, s: EpochSchema, *, step_s: int = 60, window:
     minutes since the day before's acrophase, share the variance of the two. A participant's whole series is
     decomposed at once, in memory linear in its span: one task per participant.
     """
-    t = s.seconds(df)
-    grid = df.select(s.pid, F.floor(t / step_s).alias("k"), F.col(column).cast("double").alias("v")).groupBy(s.pid, "k").agg(F.avg("v").alias("v"))
+    grid = _resampled(df, column, s, step_s)
     kind = dict(df.dtypes)[s.pid]
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        k = pdf["k"].to_numpy()
-        y = np.full(int(k[-1] - k[0]) + 1, np.nan)
-        y[k - k[0]] = pdf["v"].to_numpy(dtype=float)
+        first, y = _whole(pdf)
         names = ["pid", "date", "acrophase", "trend", "share"]
-        if np.isnan(y).all() or len(y) < 8:
+        if not len(y):
             return pd.DataFrame(columns=names)
-        y = np.where(np.isnan(y), np.nanmean(y), y)
         length = min(window, len(y) // 2)
         parts, shares = ssa_components(y, length, 2)
-        at = (np.arange(len(y)) + k[0]) * step_s
+        at = (np.arange(len(y)) + first) * step_s
         date, clock = at // 86_400, at % 86_400
         trend = pd.Series(parts[0]).groupby(date).mean()
         day = (clock >= 6 * 3600) & (clock <= 23 * 3600)

@@ -630,6 +630,11 @@ def ssa(spark: SparkSession, sf: str) -> DataFrame:
     return circadian.ssa(dense(spark, sf), "hyp_act_x", S, step_s=3600, window=24)
 
 
+@_query()
+def ssa_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return circadian.ssa_matrix(table(spark, sf, "hyp_epochs").select("pid", "hyp_time_col", "hyp_sleep_bin"), "hyp_sleep_bin", EpochSchema())
+
+
 @_query("select pid, hyp_time_col from (select user_id::varchar as pid, ts as hyp_time_col, value from events) order by value desc, hyp_time_col limit 20", base=False)
 def top_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").orderBy(F.desc("value"), "ts").limit(20).select(F.col("user_id").cast("string").alias("pid"), F.col("ts").alias("hyp_time_col"))

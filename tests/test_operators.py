@@ -291,6 +291,20 @@ def test_ssa_of_a_whole_series(spark):
             assert r.period_min == ((tops[i] - tops[i - 1]) / 60 if both else None)
 
 
+def test_ssa_matrix(spark):
+    n, window = 3000, 1440
+    y = 50 + 20 * np.sin(np.arange(n) / 1440 * 2 * np.pi) + np.random.default_rng(4).normal(0, 3, n)
+    x = epochs(spark, y.tolist()).unionByName(epochs(spark, [1.0] * 7, pid="short"))
+    (r,) = circadian.ssa_matrix(x, "v", S).collect()
+    u, d, v = np.linalg.svd(np.lib.stride_tricks.sliding_window_view(y, n - window + 1), full_matrices=False)
+    w = np.minimum(np.minimum(np.arange(n) + 1, n - np.arange(n)), window)
+    parts = np.array([np.convolve(u[:, k], d[k] * v[k]) / w for k in range(20)])
+    g = (parts * w) @ parts.T
+    want = g / np.sqrt(np.outer(np.diag(g), np.diag(g)))
+    assert r.pid == "p" and np.abs(np.array(r.shares) - (d**2 / (d**2).sum())[:20]).max() < 1e-9
+    assert np.array(r.w_correlation).shape == (20, 20) and np.abs(np.array(r.w_correlation) - want).max() < 1e-5
+
+
 def test_features(spark):
     x = spark.createDataFrame([("p", k, float(k)) for k in (0, 1, 3)] + [("q", 0, None)], "pid string, ml_sequence int, v double")
     assert [tuple(r) for r in features.lag_features(x, ["v"], 1).orderBy("ml_sequence").select("ml_sequence", "`v-1d`").collect()] == [(1, 0.0), (3, 1.0)]
