@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochloom.operators.grid import bucket, impute, resolve_counter
+from epochloom.operators.spikes import ChartConfig
 from epochloom.operators.timestamps import normalise
 from epochloom.runtime import spill, table
 
@@ -15,10 +16,11 @@ def minute_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "test_1")
     texts = normalise(lines, table(spark, sf_dir, "recorders"), text="timestamp", source="file_id", counter="timestamp_16")
     reads = lines.where(F.col("heart_rate").isNotNull()).select("file_id", "line_no", "row_id", "timestamp_16", "heart_rate")
-    timed = resolve_counter(reads, texts, source="file_id")
-    # impossible values still tell that a reading fell into the minute, but must not shape the imputation
-    sane = F.when(F.col("heart_rate").between(20, 245), F.col("heart_rate"))
-    return impute(spill(bucket(timed.withColumn("sane", sane), source="file_id", value="sane")), source="file_id")
+    timed = resolve_counter(reads, spill(texts), source="file_id")
+    # impossible values and spikes still tell that a reading fell into the minute, but must not shape the imputation
+    charts = ChartConfig()
+    sane = F.when(F.col("heart_rate").between(charts.low, charts.high), F.col("heart_rate"))
+    return impute(spill(bucket(timed.withColumn("sane", sane), source="file_id", value="sane")), source="file_id", charts=charts)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
