@@ -7,28 +7,36 @@ suffix block selects the test strings that may end here, and comparing their wor
 once, one in each piece of a batch of texts, so the steps are vector operations.
 
 Confirmed occurrences of one passage are chained to stretches that tolerate single altered, left out or added words,
-and the best two stretches in order decide. It is a map over documents: no shuffle, no candidates left out.
+and the best two stretches in order decide. It is a map over documents: no shuffle, no candidates left out. Words of
+formulas don't count, so occurrences of test strings that are nothing but formula lead to no pair by themselves; they are
+looked up again for the pairs that have enough words without them.
+
+The tables of a slice of the passages are built once, on the driver, and shared as flat arrays. Passages of any number
+are searched slice by slice; which words are formulas is counted over all of them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from epochloom.llm.words import flat_words, word_ids
+from epochloom.runtime import spill
 
 
 @dataclass(frozen=True)
 class LeakConfig:
     """``gram``: words of a test string; ``block``: words of a block; ``least``: words of a case; ``least_stretch``: words
     of the shorter of two stretches; ``slack``: words that may differ between two occurrences of one stretch;
-    ``formula_gram``/``formula_items``: words in a sequence of so many words that stands in so many passages don't count."""
+    ``formula_gram``/``formula_items``: words in a sequence of so many words that stands in so many passages don't count;
+    ``slice_bytes``: passages searched at a time (the tables take about 40 times as much memory)."""
 
     gram: int = 5
     block: int = 3
@@ -40,13 +48,23 @@ class LeakConfig:
     bits: int = 20
     piece: int = 384
     chunk_chars: int = 4_000_000
-    most_items: int = 100_000
+    slice_bytes: int = 4_000_000
+    most_pairs: int = 2_000_000
+
+
+def _formulas(words: list[str], n: int) -> list[int]:
+    """A signed 64-bit number of every sequence of ``n`` words."""
+    return [xxhash.xxh3_64_intdigest(" ".join(words[j : j + n])) - 2**63 for j in range(len(words) - n + 1)]
 
 
 class Index:
-    """Shift table, suffix buckets and test strings of a set of passages."""
+    """Shift table, suffix buckets and test strings of a set of passages, as flat arrays.
 
-    def __init__(self, items: list[tuple[int, str | None]], cfg: LeakConfig = LeakConfig()):
+    ``formulas``: numbers (of :func:`_formulas`) of the sequences that count as formulas; by default those that stand
+    in ``formula_items`` of these passages.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], cfg: LeakConfig = LeakConfig(), formulas: np.ndarray | None = None):
         self.cfg, m, b = cfg, cfg.gram, cfg.block
         items = [(i, p) for i, p in items if i is not None and p]
         words, starts = flat_words(pa.array([p for _, p in items], pa.string()))
@@ -54,35 +72,46 @@ class Index:
         flat = word_ids(words, self.vocabulary)
         rng = np.random.default_rng(7)
         self.codes = rng.integers(1, 2**63 - 1, len(self.vocabulary) + 1, dtype=np.uint64)
-        self.ids = [i for i, _ in items]
-        self.passages = [flat[s:e] for s, e in zip(starts[:-1], starts[1:])]
-        where: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        seen: dict[tuple, set[int]] = defaultdict(set)
-        for k, p in enumerate(self.passages):
-            t = p.tolist()
-            for j in range(len(t) - m + 1):
-                where[tuple(t[j : j + m])].append((k, j))
-            for j in range(len(t) - cfg.formula_gram + 1):
-                seen[tuple(t[j : j + cfg.formula_gram])].add(k)
-        self.counts = [np.ones(len(p), bool) for p in self.passages]  # words that count
-        for k, p in enumerate(self.passages):
-            t = p.tolist()
-            for j in range(len(t) - cfg.formula_gram + 1):
-                if len(seen[tuple(t[j : j + cfg.formula_gram])]) >= cfg.formula_items:
-                    self.counts[k][j : j + cfg.formula_gram] = False
-        grams = sorted(where)
-        self.where = [where[g] for g in grams]
-        self.patterns = np.array(grams, np.int32).reshape(len(grams), m)
-        self.shift = np.full(1 << cfg.bits, m - b + 1, np.int8)
-        for off in range(m - b, -1, -1):  # blocks that end nearer to the end of a test string allow smaller shifts
-            if len(grams):
-                h = self.hash(self.patterns[:, off : off + b]) >> np.uint64(64 - cfg.bits)
-                np.minimum.at(self.shift, h.astype(np.int64), np.int8(m - b - off))
-        suffix = self.hash(self.patterns[:, m - b :]) if len(grams) else np.zeros(0, np.uint64)
+        self.ids, self.starts = [i for i, _ in items], starts.astype(np.int64)
+        owner = np.repeat(np.arange(len(items)), np.diff(starts))
+        self.counts = np.ones(len(flat), bool)  # words that count, of all passages one after the other
+        self._mute(words.to_pylist(), owner, formulas)
+        self.counted = np.r_[0, np.cumsum(self.counts)]
+        at = np.flatnonzero(owner[: len(flat) - m + 1] == owner[m - 1 :]) if len(flat) >= m else np.zeros(0, np.int64)
+        grams = np.stack([flat[at + j] for j in range(m)], 1) if len(at) else np.zeros((0, m), np.int32)
+        self.patterns, which = np.unique(grams, axis=0, return_inverse=True)
+        suffix = self.hash(self.patterns[:, m - b :])
         order = np.argsort(suffix, kind="stable")
-        self.patterns, self.where = self.patterns[order], [self.where[i] for i in order]
+        self.patterns = self.patterns[order]
+        which = np.argsort(order)[which.reshape(-1)]
         self.suffixes, self.bucket = np.unique(suffix[order], return_index=True)
-        self.bucket = np.append(self.bucket, len(grams))
+        self.bucket = np.append(self.bucket, len(self.patterns))
+        self.shift = np.full(1 << cfg.bits, m - b + 1, np.int8)
+        for off in range(m - b, -1, -1):  # blocks that end nearer to the end of a test string allow smaller shifts
+            h = self.hash(self.patterns[:, off : off + b]) >> np.uint64(64 - cfg.bits)
+            np.minimum.at(self.shift, h.astype(np.int64), np.int8(m - b - off))
+        # where test strings stand: those with a word that counts by test string, those without by passage
+        live = self.counted[at + m] > self.counted[at]
+        by = np.flatnonzero(live)[np.argsort(which[live], kind="stable")]
+        self.where = np.searchsorted(which[by], np.arange(len(self.patterns) + 1))
+        self.where_item, self.where_at = owner[at[by]], at[by]
+        mute = np.flatnonzero(~live)
+        self.mute = np.searchsorted(owner[at[mute]], np.arange(len(items) + 1))
+        self.mute_pattern, self.mute_at = which[mute], at[mute]
+
+    def _mute(self, words: list[str], owner: np.ndarray, formulas: np.ndarray | None) -> None:
+        n = self.cfg.formula_gram
+        number, at = [], []
+        for a, e in zip(self.starts[:-1].tolist(), self.starts[1:].tolist()):
+            number += _formulas(words[a:e], n)
+            at += range(a, max(a, e - n + 1))
+        number, at = np.array(number, np.int64), np.array(at, np.int64)
+        if formulas is None:
+            pairs = np.unique(np.stack([number, owner[at]], 1), axis=0)[:, 0] if len(at) else number
+            same, times = np.unique(pairs, return_counts=True)
+            formulas = same[times >= self.cfg.formula_items]
+        for k in at[np.isin(number, formulas)].tolist():
+            self.counts[k : k + n] = False
 
     def hash(self, blocks: np.ndarray) -> np.ndarray:
         """Hash of rows of word ids; -1 is the last code."""
@@ -152,7 +181,7 @@ class Index:
             else:
                 live.append([k, k + m, q, q + m, list(range(q, q + m)), q])
         done += live
-        counts = self.counts[item]
+        counts = self.counts[self.starts[item] : self.starts[item + 1]]
         scored = sorted(((int(counts[np.array(r[4])].sum()), r) for r in done if len(r[4]) >= cfg.least_stretch), key=lambda x: -x[0])
         if not scored:
             return False
@@ -187,48 +216,105 @@ class Index:
         start, pattern = start[fit], pattern[fit]
         begins = starts[:-1] + m * np.arange(len(starts) - 1)
         doc = np.searchsorted(begins, start, side="right") - 1
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for d, k, p in zip(doc.tolist(), start.tolist(), pattern.tolist()):
-            for item, q in self.where[p]:
-                hits[d, item].append((k, q))
-        return [(d, self.ids[item]) for (d, item), h in hits.items() if self.enough(h) and self.decide(h, item)]
-
-    def enough(self, hits: list[tuple[int, int]]) -> bool:
-        """Cheap necessary condition: the occurrences touch enough words of the passage."""
-        m, least = self.cfg.gram, self.cfg.least
-        if len(hits) * m < least:
-            return False
-        total, end = 0, -1
-        for q in sorted({q for _, q in hits}):
-            total += q + m - max(q, end)
-            end = q + m
-        return total >= least
+        ends = np.searchsorted(doc, np.arange(len(starts)))
+        found: list[tuple[int, int]] = []
+        for a, e in self._portions(pattern, ends):
+            found += self._pairs(doc[a:e], start[a:e], pattern[a:e])
+        return found
 
+    def _portions(self, pattern: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Occurrences of some texts at a time, so that not too many pairs with passages are looked at at once."""
+        pairs = np.r_[0, np.cumsum(self.where[pattern + 1] - self.where[pattern])][ends] // self.cfg.most_pairs
+        cuts = np.r_[0, np.flatnonzero(np.diff(pairs)) + 1, len(ends) - 1]
+        for a, e in zip(ends[cuts[:-1]], ends[cuts[1:]]):
+            if e > a:
+                yield int(a), int(e)
 
-def find_leaks(documents: DataFrame, items: list[tuple[int, str | None]], *, key: str, text: str, item: str = "item_id", cfg: LeakConfig = LeakConfig()) -> DataFrame:
+    def _pairs(self, doc: np.ndarray, start: np.ndarray, pattern: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) pairs that are a case, of all occurrences (in order) in some texts."""
+        m, items = self.cfg.gram, len(self.ids)
+        size = self.where[pattern + 1] - self.where[pattern]
+        spot = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.where[pattern], size)
+        k, q, pair = np.repeat(start, size), self.where_at[spot], np.repeat(doc, size) * items + self.where_item[spot]
+        order = np.lexsort((q, pair))
+        pair, q, k = pair[order], q[order], k[order]
+        # words of the passage that count and are met: a necessary condition
+        before = np.where(np.r_[True, pair[1:] != pair[:-1]], q, np.r_[0, q[:-1] + m]) if len(q) else q
+        gain = self.counted[q + m] - self.counted[np.clip(before, q, q + m)]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(q) else q
+        enough = np.add.reduceat(gain, first) >= self.cfg.least if len(q) else np.zeros(0, bool)
+        found, ends = [], np.r_[first, len(q)]
+        for i in np.flatnonzero(enough).tolist():
+            a, e = ends[i], ends[i + 1]
+            d, item = divmod(int(pair[a]), items)
+            x, y = np.searchsorted(doc, [d, d + 1])
+            # formulas between them keep stretches together
+            mutes = slice(self.mute[item], self.mute[item + 1])
+            hits = list(zip(k[a:e].tolist(), (q[a:e] - self.starts[item]).tolist()))
+            for p, at in zip(self.mute_pattern[mutes].tolist(), self.mute_at[mutes].tolist()):
+                hits += [(s, at - int(self.starts[item])) for s in start[x:y][pattern[x:y] == p].tolist()]
+            if self.decide(sorted(hits), item):
+                found.append((d, self.ids[item]))
+        return found
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item: str = "item_id", passage: str = "passage", cfg: LeakConfig = LeakConfig()) -> DataFrame:
     """Distinct (``key``, ``item``): the text holds at least ``least`` words of the item's passage.
 
     The words must come in the passage's order, in at most two stretches; case, punctuation, spacing, bracketed insertions
-    and single altered words don't count, nor do words of formulas that several passages share. ``items`` is the
-    bounded list of (id, passage) that every task gets; more than ``most_items`` are an error. Null and blank texts and
-    passages, and passages shorter than a test string, have no case. Whole texts are searched, of any length.
+    and single altered words don't count, nor do words of formulas that several passages share. Items (whose ids must be unique)
+    are searched in slices of about ``slice_bytes`` of passages, each of which every task gets; documents are read once
+    a slice. Null and blank texts and passages, and passages shorter than a test string, have no case. Whole
+    texts are searched, of any length. Further columns are ignored.
     """
-    if len(items) > cfg.most_items:
-        raise ValueError(f"more than {cfg.most_items} items")
-    kind = documents.schema[key].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+    spark, kind, item_kind = documents.sparkSession, documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    wanted = items.select(items[item].alias("i"), items[passage].alias("p")).where("i is not null and p is not null")
+    count = max(1, -(-(wanted.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // cfg.slice_bytes))
+    wanted = wanted.withColumn("slice", F.pmod(F.xxhash64("i"), F.lit(count)).cast("int"))
+    formulas = None
+    if count > 1:
+        wanted = spill(wanted)
+        formulas = spill(_shared_formulas(wanted, cfg))
+    rows = documents.select(documents[key].alias("key"), documents[text].alias("text")).where("text is not null and key is not null")
+    out = None
+    for n in range(count):
+        mine = [(r["i"], r["p"]) for r in wanted.where(F.col("slice") == n).select("i", "p").orderBy("i").collect()]
+        known = None if formulas is None else np.array([r["f"] for r in formulas.where(F.col("slice") == n).select("f").collect()], np.int64)
+        one = rows.mapInArrow(_search(spark.sparkContext.broadcast(Index(mine, cfg, known)), item_kind), f"key {kind}, item {item_kind}")
+        out = one if out is None else out.unionByName(one)
+    return out.toDF(key, item)
+
+
+def _search(shared, item_kind: str):
+    """The map over documents with the shared tables of one slice."""
+    kind = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for batch in batches:
-            index = index or Index(shared.value, cfg)
-            for part in slices(batch, 1, cfg.chunk_chars):
+            index = shared.value
+            for part in slices(batch, 1, index.cfg.chunk_chars):
                 found = index.leaks(part.column(1))
                 keys = part.column(0).take(pa.array([d for d, _ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in found], pa.int32())], ["key", "item"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in found], kind)], ["key", "item"])
 
-    rows = documents.select(documents[key].alias("key"), documents[text].alias("text")).where("text is not null and key is not null")
-    return rows.mapInArrow(search, f"key {kind}, item int").toDF(key, item)
+    return search
+
+
+def _shared_formulas(wanted: DataFrame, cfg: LeakConfig) -> DataFrame:
+    """(``slice``, ``f``): formulas, counted over the passages of all slices, in each slice that has them."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, starts = flat_words(batch.column(1))
+            words = words.to_pylist()
+            lists = [_formulas(words[a:e], cfg.formula_gram) for a, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array([f for x in lists for f in x], pa.int64())], ["i", "slice", "f"])
+
+    kind = wanted.schema["i"].dataType.simpleString()
+    numbers = wanted.mapInArrow(number, f"i {kind}, slice int, f bigint").distinct()
+    shared = numbers.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.formula_items).select("f")
+    return numbers.select("slice", "f").distinct().join(shared, "f", "left_semi")
 
 
 def slices(batch: pa.RecordBatch, column: int, most_chars: int) -> Iterator[pa.RecordBatch]:

@@ -53,9 +53,8 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speeches with a passage of an evaluation item, and the item. ``eval_items`` is a fixed table of 240 rows."""
-    items = [(r["item_id"], r["passage"]) for r in table(spark, sf_dir, "eval_items").select("item_id", "passage").collect()]
-    return find_leaks(table(spark, sf_dir, "documents"), items, key="doc_id", text="text")
+    """Speeches with a passage of an evaluation item, and the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), key="doc_id", text="text")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame:

@@ -1,6 +1,7 @@
+import time
+
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from epochloom.llm.leaks import Index, LeakConfig, find_leaks
 from epochloom.llm.words import flat_words, word_ids
@@ -46,7 +47,7 @@ CASES = [
 
 def test_find_leaks(spark):
     df = spark.createDataFrame([(d, t, 5) for d, t, _ in CASES] + [(None, P[0], 5)], "doc_id long, text string, item int")
-    got = {(r.doc_id, r.item_id) for r in find_leaks(df.repartition(3), ITEMS, key="doc_id", text="text").collect()}
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df.repartition(3), spark.createDataFrame(ITEMS, "item_id int, passage string"), key="doc_id", text="text").collect()}
     assert got == {(d, i) for d, _, want in CASES for i in want}
 
 
@@ -68,9 +69,37 @@ def test_formulas_do_not_count():
     assert index.leaks(pa.array([formula + " " + " ".join(items[0][1].split()[20:30]), items[1][1]])) == [(1, 1)]
 
 
-def test_no_items_and_limits(spark):
+def test_a_formula_inside_a_stretch_keeps_it_together():
+    formula = text(20)
+    own = [text(14) + " " + formula + " " + text(14) + " " + text(40) for _ in range(4)]
+    words = own[0].split()
+    two = " ".join(words[:48]) + " " + text(30) + " " + " ".join(words[60:75])  # with the formula two stretches, without it three
+    assert Index(list(enumerate(own))).leaks(pa.array([two, formula])) == [(0, 0)]
+
+
+def test_a_formula_that_very_many_passages_share_costs_nothing():
+    rng = np.random.default_rng(4)
+    formula = text(20, rng)
+    index = Index([(k, text(10, rng) + " " + formula + " " + text(20, rng)) for k in range(2000)])
+    texts = pa.array([text(100, rng) + " " + formula + " " + text(100, rng) for _ in range(300)])
+    began = time.process_time()
+    assert index.leaks(texts) == []
+    assert time.process_time() - began < 1
+
+
+def test_slices_give_the_same_as_the_whole(spark):
+    rng = np.random.default_rng(6)
+    formula = text(12, rng)
+    passages = [text(20, rng) + " " + (formula if k % 3 == 0 else "") + " " + text(30, rng) for k in range(30)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    docs = [(k, text(80, rng) + " " + " ".join(passages[k % 30].split()[5 : 20 + k]) + " " + formula + " " + text(50, rng)) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole, parts = ({(r.doc_id, r.item_id) for r in find_leaks(df, items, key="doc_id", text="text", cfg=LeakConfig(slice_bytes=b)).collect()} for b in (10**9, 2500))
+    assert whole == parts and len(whole) > 15
+
+
+def test_no_items_and_no_documents(spark):
     df = spark.createDataFrame([(1, P[0])], "doc_id long, text string")
-    assert find_leaks(df, [], key="doc_id", text="text").count() == 0
-    assert find_leaks(df.limit(0), ITEMS, key="doc_id", text="text").count() == 0
-    with pytest.raises(ValueError):
-        find_leaks(df, ITEMS, key="doc_id", text="text", cfg=LeakConfig(most_items=2))
+    items = spark.createDataFrame(ITEMS, "item_id int, passage string")
+    assert find_leaks(df, items.limit(0), key="doc_id", text="text").count() == 0
+    assert find_leaks(df.limit(0), items, key="doc_id", text="text").count() == 0
