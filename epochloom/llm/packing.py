@@ -12,9 +12,8 @@ the last, partly filled containers of each shard.
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -59,34 +58,36 @@ def count_tokens(documents: DataFrame, *, key: str, text: str, ranks: str = DEFA
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a container holds. ``documents`` defaults to one per 16 tokens, ``attention`` to ``tokens ** 2``; ``rule`` is ``norm`` or ``dot``."""
+    """What a container holds: ``tokens``, ``documents`` (by default one per 64 tokens) and ``attention`` (by default
+    three quarters of ``tokens ** 2``). ``rule`` is ``norm`` or ``dot``.
+
+    Attention over separate texts costs the sum of their squared sizes, which is never above ``tokens ** 2``: only
+    a smaller budget says anything. A text that is within ``tokens`` but by itself above the attention budget isn't cut; it
+    gets a container of its own.
+    """
 
     tokens: int
     documents: int | None = None
     attention: int | None = None
     weights: tuple[float, float, float] = (1.0, 0.1, 0.2)
     rule: str = "norm"
-    cost: int = field(init=False)
-    piece: int = field(init=False)
 
     def __post_init__(self):
         if self.tokens < 1 or (self.documents is not None and self.documents < 1) or (self.attention is not None and self.attention < 1) or self.rule not in ("norm", "dot"):
             raise ValueError("capacities must be positive and rule 'norm' or 'dot'")
-        cost = self.tokens**2 if self.attention is None else self.attention
-        object.__setattr__(self, "cost", cost)
-        object.__setattr__(self, "documents", max(1, self.tokens // 16) if self.documents is None else self.documents)
-        object.__setattr__(self, "piece", min(self.tokens, math.isqrt(cost)))  # most tokens of one item
+        object.__setattr__(self, "attention", max(1, 3 * self.tokens**2 // 4) if self.attention is None else self.attention)
+        object.__setattr__(self, "documents", max(1, self.tokens // 64) if self.documents is None else self.documents)
 
 
 def best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
-    """Container number of every item (sizes in tokens, none above ``cap.piece``)."""
+    """Container number of every item (sizes in tokens, none above ``cap.tokens``)."""
     n = len(sizes)
     out = np.empty(n, np.int64)
     order = np.argsort(-sizes, kind="stable")
     room = np.empty((3, 256))  # tokens, documents and attention cost left, of the open containers
     name = np.empty(256, np.int64)
     used = made = 0
-    full = np.array([cap.tokens, cap.documents, cap.cost], float)
+    full = np.array([cap.tokens, cap.documents, cap.attention], float)
     scale = np.array(cap.weights)[:, None] ** 0.5 / full[:, None]
     smallest = float(sizes.min()) if n else 0.0
     for i in order.tolist():
@@ -106,7 +107,7 @@ def best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
             made += 1
         room[:, at] -= ask[:, 0]
         out[i] = name[at]
-        if room[0, at] < smallest or room[1, at] < 1:  # nothing fits any more
+        if room[0, at] < smallest or room[1, at] < 1 or room[2, at] < smallest * smallest:  # nothing fits any more
             used -= 1
             room[:, at], name[at] = room[:, used], name[used]
     return out
@@ -116,12 +117,13 @@ def pack(tokens: DataFrame, cap: Capacity, *, key: str, size: str = "n_tokens",
     """One row per text or piece: ``key``, ``piece``, ``token_start``, ``token_end``, ``n_tokens``, ``shard``, ``container``.
 
     A container is named by (``shard``, ``container``). Rows with null or non-positive size hold nothing and are left out; equal
-    keys are items of their own. The result depends on keys and sizes only.
+    keys are items of their own. The result depends on keys and sizes only; the number of shards is that of the items by
+    ``per_shard``, so which texts share a container depends on how many there are.
     """
     kind = tokens.schema[key].dataType.simpleString()
     rows = tokens.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("n"))
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(cap.piece).cast("bigint"))
-    items = rows.select("key", "n", F.posexplode(starts).alias("piece", "a")).withColumn("b", F.least("n", F.col("a") + cap.piece))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(cap.tokens).cast("bigint"))
+    items = rows.select("key", "n", F.posexplode(starts).alias("piece", "a")).withColumn("b", F.least("n", F.col("a") + cap.tokens))
     items = items.select("key", "piece", F.col("a").alias("token_start"), F.col("b").alias("token_end"), (F.col("b") - F.col("a")).alias("n_tokens"))
     shards = max(1, -(-items.count() // per_shard))
 
@@ -131,7 +133,8 @@ def pack(tokens: DataFrame, cap: Capacity, *, key: str, size: str = "n_tokens",
 
     placed = items.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
     fields = f"key {kind}, piece int, token_start bigint, token_end bigint, n_tokens bigint, shard int, container bigint"
-    return placed.groupBy("shard").applyInPandas(fill, fields).withColumnRenamed("key", key)
+    # a task a shard: small shards would otherwise be merged into few tasks
+    return placed.repartition(shards, "shard").groupBy("shard").applyInPandas(fill, fields).withColumnRenamed("key", key)
 
 
 def pack_documents(documents: DataFrame, cap: Capacity, *, key: str, text: str, ranks: str = DEFAULT_RANKS, pattern: str = BYTE_PATTERN) -> DataFrame:

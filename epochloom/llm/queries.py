@@ -57,10 +57,27 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), key="doc_id", text="text")
 
 
+def _capacity(spark: SparkSession, sf_dir: str, window: str) -> Capacity:
+    """Tokens of one of the context windows, a document per 64 tokens, and three quarters of the attention of a single full text."""
+    tokens = table(spark, sf_dir, "context_windows").where(F.col("window_name") == window).select("capacity_tokens").first()["capacity_tokens"]
+    return Capacity(tokens, documents=max(1, tokens // 64), attention=3 * tokens**2 // 4)
+
+
 def p6_containers(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame:
     """Every non-blank text or piece with its container, for the capacity of one of the context windows."""
-    windows = table(spark, sf_dir, "context_windows").where(F.col("window_name") == window).select("capacity_tokens").take(1)
-    return pack_documents(table(spark, sf_dir, "documents"), Capacity(windows[0]["capacity_tokens"]), key="doc_id", text="text")
+    return pack_documents(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir, window), key="doc_id", text="text")
+
+
+def p6_check(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame:
+    """What must hold of the containers: every non-blank text once and whole, cut only if longer than a container, no capacity exceeded."""
+    cap = _capacity(spark, sf_dir, window)
+    packed = spill(p6_containers(spark, sf_dir, window))
+    texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("token_end").alias("end"), F.count("*").alias("k"), F.count_distinct("token_start").alias("starts"))
+    held = packed.groupBy("shard", "container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("a"))
+    broken = (F.col("n") != F.col("end")) | (F.col("k") != F.col("starts")) | (F.col("k") != F.ceil(F.col("end") / cap.tokens))
+    return texts.agg(F.count("*").alias("texts"), F.count_if(broken).alias("broken_texts")).crossJoin(
+        held.agg(F.count_if(F.col("n") > cap.tokens).alias("over_tokens"), F.count_if(F.col("k") > cap.documents).alias("over_documents"), F.count_if((F.col("a") > cap.attention) & (F.col("k") > 1)).alias("over_attention"))
+    )
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +99,7 @@ runs as (
   from numbered where v is not null group by pid, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_containers": p6_containers, "p6_check": p6_check, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE_SQL = {
     "p2_found": """
 with recursive r as (select try_cast(regexp_extract(pid, '^\\D*?0*(\\d{1,18})(?:\\.0*)?\\D*$', 1) as bigint) as number, fold from ml),
@@ -93,6 +110,9 @@ reach(n, m) as (select number, number from r where number is not null union sele
 person as (select n, min(m) as pid_min from reach group by n),
 folds as (select distinct pid_min, fold from r join person on r.number = person.n where fold is not null and fold <> -1)
 select pid_min, fold from folds qualify count(*) over (partition by pid_min) >= 2""",
+    "p6_check": r"""
+select count(*) as texts, 0::bigint as broken_texts, 0::bigint as over_tokens, 0::bigint as over_documents, 0::bigint as over_attention
+from documents where regexp_matches(text, '[^\s\x{0B}\x{85}\p{Z}]')""",
     "p5_found": _RUNS_SQL + "select pid, run_start_s, n_epochs, duration_s from runs where n_epochs >= 2",
     "p5_runs": _RUNS_SQL + "select pid, run_start_s, run_end_s, level, n_epochs, duration_s from runs",
 }

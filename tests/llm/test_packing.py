@@ -10,7 +10,7 @@ needs_ranks = pytest.mark.skipif(not os.path.exists(DEFAULT_RANKS), reason="need
 
 def slow_best_fit(sizes, cap):
     """The same rule, one container after the other."""
-    full = np.array([cap.tokens, cap.documents, cap.cost], float)
+    full = np.array([cap.tokens, cap.documents, cap.attention], float)
     bins, out = [], [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         ask, best = np.array([sizes[i], 1, sizes[i] ** 2], float), None
@@ -29,11 +29,11 @@ def slow_best_fit(sizes, cap):
 
 @pytest.mark.parametrize("cap", [Capacity(100), Capacity(100, documents=3), Capacity(100, attention=4000), Capacity(100, rule="dot")])
 def test_best_fit_respects_every_capacity(cap):
-    sizes = np.random.default_rng(0).integers(1, cap.piece + 1, 400)
+    sizes = np.random.default_rng(0).integers(1, cap.tokens + 1, 400)
     at = best_fit(sizes, cap)
     for k in np.unique(at):
         s = sizes[at == k]
-        assert s.sum() <= cap.tokens and len(s) <= cap.documents and (s.astype(float) ** 2).sum() <= cap.cost
+        assert s.sum() <= cap.tokens and len(s) <= cap.documents and (len(s) == 1 or (s.astype(float) ** 2).sum() <= cap.attention)
     if cap.rule == "norm":
         assert len(np.unique(at)) <= 1.02 * slow_best_fit(sizes.tolist(), cap)[1] + 1
 
@@ -41,7 +41,18 @@ def test_best_fit_respects_every_capacity(cap):
 def test_little_room_is_left():
     sizes = np.random.default_rng(1).lognormal(5, 1, 3000).astype(int).clip(1, 2048)
     at = best_fit(sizes, Capacity(2048))
-    assert sizes.sum() / (2048 * len(np.unique(at))) > 0.99
+    assert sizes.sum() / (2048 * len(np.unique(at))) > 0.98
+
+
+def test_every_capacity_of_the_default_binds():
+    sizes = np.random.default_rng(1).lognormal(5, 1.2, 3000).astype(int).clip(1, 2048)
+    full, free = Capacity(2048), {"documents": 2048, "attention": 2048**2}
+    at = best_fit(sizes, full)
+    for name in free:
+        loose = best_fit(sizes, Capacity(2048, **{name: free[name]}))
+        assert not np.array_equal(at, loose)
+        count, cost = np.bincount(loose), np.bincount(loose, sizes.astype(float) ** 2)
+        assert (count > full.documents).any() if name == "documents" else ((cost > full.attention) & (count > 1)).any()
 
 
 def test_edges_of_best_fit():
