@@ -38,6 +38,18 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(assign_groups(rows, group="pid_min", label="cohort"), "pid_min").select("row_id", "pid_min", "split")
 
 
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the splits, per cohort: every record has a split, every person one, and no share is off by more than a hundredth (or ten records)."""
+    done = spill(p2_splits(spark, sf_dir))
+    cohorts = table(spark, sf_dir, "ml").select("row_id", F.coalesce(F.lower(F.trim("cohort")), F.lit("none")).alias("cohort"), spelled_number(F.col("pid")).isNotNull().alias("named"))
+    rows = cohorts.join(done, "row_id", "left")
+    persons = done.groupBy("pid_min").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("divided_persons"))
+    n = F.count("split")
+    near = lambda name, share: F.abs(F.count_if(F.col("split") == name) - share * n) <= F.greatest(n / 100, F.lit(10))
+    per = rows.groupBy("cohort").agg(F.count("*").alias("records"), F.count_if(F.col("named") & F.col("split").isNull()).alias("without_split"), (near("train", 0.8) & near("validation", 0.1) & near("test", 0.1)).alias("balanced"))
+    return per.crossJoin(persons)
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "hyp_epochs"), source="pid", time="hyp_time_col", value="hyp_sleep_bin", received="received_at", key="row_id")
 
@@ -99,7 +111,7 @@ runs as (
   from numbered where v is not null group by pid, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_containers": p6_containers, "p6_check": p6_check, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_check": p2_check, "p5_found": p5_found, "p5_runs": p5_runs, "p6_containers": p6_containers, "p6_check": p6_check, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE_SQL = {
     "p2_found": """
 with recursive r as (select try_cast(regexp_extract(pid, '^\\D*?0*(\\d{1,18})(?:\\.0*)?\\D*$', 1) as bigint) as number, fold from ml),
@@ -110,6 +122,9 @@ reach(n, m) as (select number, number from r where number is not null union sele
 person as (select n, min(m) as pid_min from reach group by n),
 folds as (select distinct pid_min, fold from r join person on r.number = person.n where fold is not null and fold <> -1)
 select pid_min, fold from folds qualify count(*) over (partition by pid_min) >= 2""",
+    "p2_check": """
+select coalesce(lower(trim(cohort)), 'none') as cohort, count(*) as records, 0::bigint as without_split, true as balanced, 0::bigint as divided_persons
+from ml group by 1""",
     "p6_check": r"""
 select count(*) as texts, 0::bigint as broken_texts, 0::bigint as over_tokens, 0::bigint as over_documents, 0::bigint as over_attention
 from documents where regexp_matches(text, '[^\s\x{0B}\x{85}\p{Z}]')""",

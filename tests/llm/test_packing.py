@@ -40,8 +40,11 @@ def test_best_fit_respects_every_capacity(cap):
 
 def test_little_room_is_left():
     sizes = np.random.default_rng(1).lognormal(5, 1, 3000).astype(int).clip(1, 2048)
-    at = best_fit(sizes, Capacity(2048))
-    assert sizes.sum() / (2048 * len(np.unique(at))) > 0.98
+    at = best_fit(sizes, Capacity(2048, documents=128, attention=2048**2))  # tokens alone decide
+    assert sizes.sum() / (2048 * len(np.unique(at))) > 0.99
+    speeches = np.random.default_rng(1).lognormal(5.5, 0.8, 10_000).astype(int).clip(1, 2048)
+    at = best_fit(speeches, Capacity(2048))
+    assert speeches.sum() / (2048 * len(np.unique(at))) > 0.98
 
 
 def test_every_capacity_of_the_default_binds():
