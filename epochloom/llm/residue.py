@@ -11,7 +11,8 @@ Two detectors:
 
 A segment without any word of the vocabulary can't reach the threshold by its own words, so it is left out; every phrase of
 ``WEIGHTS`` that counts more than 1 has a word of the vocabulary. Quoted words don't
-weigh: a speaker may mention or complain about a message.
+weigh: a speaker may mention or complain about a message. The vocabulary is that of common messages in English, German, French, Spanish,
+Italian, Portuguese and Dutch, with some Scandinavian and Polish; what speaks against residue are general signs of speech.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _SLOT_WORD = r"(?:insert|name|speaker|member|minister|seat|constituency|party|gr
 SLOTS: tuple[str, ...] = (
     r"\{\{[^{}\n]{1,60}\}\}", r"\$\{[^{}\n]{1,60}\}", r"\$?\[\[[^\[\]\n]{1,60}\]\]", r"\{%[^{}\n]{1,80}%\}", r"<%[^<>\n]{1,80}%>",
     r"%\([A-Za-z_]\w*\)[sdfSDF]", r"%%[A-Za-z_][\w ]{1,40}%%", r"%[A-Z_][A-Z_ ]{1,40}%", r"@@[A-Za-z_]\w{1,40}@@", r"<<[A-Za-z][\w ]{0,40}>>",
-    r"\{[A-Za-z]+(?:[_.][A-Za-z0-9]+)+\}", r"\{[A-Z]{2,}\}", r"<[A-Z][A-Z_]*(?: [A-Z_]+){0,6}>", r"__[A-Z]+(?:_[A-Z]+)*__",
+    r"\{[A-Za-z]+(?:[_.][A-Za-z0-9]+)+\}", r"\{[A-Z]{2,}\}", r"(?<!\w)\{(?:[A-Za-z_]\w{1,40}|\d{1,3})\}", r"\[[A-Z][a-z]+(?:[A-Z][a-z]+)+\]", r"<[A-Z][A-Z_]*(?: [A-Z_]+){0,6}>", r"__[A-Z]+(?:_[A-Z]+)*__",
     r"(?i:\[object object\])", r"(?i:\bundefined\b(?:\W{1,3}\b(?:undefined|null|nan)\b)+)", r"(?i:\((?:null|undefined|nan)\))", r"#(?:REF|VALUE|NAME|DIV/0|N/A|NULL)[!?]?(?=\W|$)", r"<!--", r"(?i:</?noscript>)",
     rf"\[(?i:(?:insert|enter|add|fill in|your)\b[^\[\]\n]{{0,60}})\]", rf"\[(?i:[^\[\]\n]{{0,40}}\b(?:to be inserted|à insérer|einfügen|einzufügen|goes here|to follow|folgt))\]",
     rf"\[(?:(?i:{_SLOT_WORD})(?:[ '’_-]|(?i:de|du|la|l|des|der|die|das|of|the)\b)*){{1,5}}\](?=\s*(?:\(\[|\(\{{|:| :))", r"\[[A-Z][A-Z'’ ]{1,40}\]\s*\(\[[A-Z][A-Z'’ ]{1,40}\]\)",
@@ -42,7 +43,7 @@ SLOTS: tuple[str, ...] = (
 )
 #: Weights of message vocabulary. A template with ``LEAST`` or more is residue.
 WEIGHTS: tuple[tuple[int, str], ...] = (
-    (15, r"lorem ipsum dolor|sed ut perspiciatis|excepteur sint occaecat|consectetur adipiscing|ut enim ad minim|duis aute irure|nemo enim ipsam|neque porro quisquam|at vero eos et accusamus|quis nostrud"),
+    (30, r"lorem ipsum dolor|sed ut perspiciatis|excepteur sint occaecat|consectetur adipiscing|ut enim ad minim|duis aute irure|nemo enim ipsam|neque porro quisquam|at vero eos et accusamus|quis nostrud"),
     (4, r"blindtext|texte? de remplissage|faux[- ]texte|dummy text|placeholder text|sample (?:speech|text)|platzhalter(?:text)?|beispieltext|mustertext"),
     (4, r"replace this (?:paragraph|text|line|section)|\btest test\b|please ignore|(?:xxx+ ?){2,}|\b(?:tbc|tbd|tba)\b\W*(?:xxx+|$)|asdf|(?:text|speech|transcript) of (?:item|speech|column)\b.* to follow"),
     (4, r"javascript (?:is|must be|needs to be|has been|ist)|(?:enable|activate|allow|turn on|switch on|requires?|needs?|activez|activer|besoin de|aktivieren sie|ben[öo]tigt|erfordert) (?:javascript|scripts)|javascript (?:aktivieren|activ[ée])"),
@@ -51,12 +52,23 @@ WEIGHTS: tuple[tuple[int, str], ...] = (
     (4, r"nullpointerexception|exception in thread|stack ?trace|traceback|segmentation fault|unhandled exception|fatal error|syntax error|upstream (?:did|timed|server|request)|rate limit"),
     (4, r"too many requests|session (?:has )?(?:timed out|expired)|session (?:a|est) expir|sitzung ist abgelaufen|(?:sign|log) in (?:again|to continue)|reconnectez-vous|melden sie sich (?:erneut|wieder)|page you (?:were|are) looking for|no longer exists|encountered an unexpected"),
     (4, r"(?:^|[^\w])(?:error|erreur|fehler) (?:4\d\d|5\d\d)\W|^\W*(?:4\d\d|5\d\d) (?:not found|bad gateway|forbidden|internal|service|gateway|unauthori[sz]ed|error)|template\W+(?:\S+ )?is missing"),
+    (4, r"(?:something|anything) went wrong|algo (?:salió|ha ido|deu|correu) m[aá]l|etwas (?:ist )?schief ?ge|une erreur (?:s'est produite|est survenue|inattendue)|er is iets mis|qualcosa è andato storto|(?:se ha producido|ha ocurrido) un error|si è verificato un errore|ocorreu um erro|er is een fout opgetreden|(?:ein (?:unerwarteter )?fehler (?:ist )?aufgetreten)|an (?:unexpected |unknown )?error (?:has )?occurred|ett fel (?:har )?uppstått|der opstod en fejl|wystąpił błąd"),
+    (4, r"scheduled maintenance|(?:site|website|page|system|server|service|application)\b.{0,30}\b(?:down|offline|closed|unavailable|under)\b.{0,20}\bmaintenance|(?:en|bajo) mantenimiento|en (?:cours de )?maintenance|wartungsarbeiten|wegen wartung|in manutenzione|em manutenção|in onderhoud|wegens onderhoud"),
+    (4, r"(?:verify|confirm|prove) (?:that )?you(?:'re| are) (?:a )?(?:not a robot|human)|captcha|(?:i'm|i am|you are) not a robot|no soy un robot|je ne suis pas un robot|kein roboter|non sono un robot|geen robot"),
+    (4, r"\b(?:coming soon|under construction|próximamente|en construcción|bientôt disponible|en construction|demnächst verfügbar|im aufbau|binnenkort beschikbaar|prossimamente|in costruzione|em breve|em construção)\W*$"),
+    (4, r"(?:habilit\w*|activ\w*|permit\w*|abilit\w*|attiv\w*|ativ\w*|schakel\w*|ingeschakeld|aktiver\w*|necesita|richiede|requer|vereist|ondersteunt|supporta|soporta|unterstützt)\b.{0,30}\bjavascript|javascript\b.{0,30}\b(?:desactivad|deshabilitad|désactivé|deaktiviert|disattivat|disabilitat|desativad|uitgeschakeld|inaktiver|disabled|turned off|blocked)"),
+    (4, r"(?:tu|su|seu|uw|je|il tuo|o seu) (?:navegador|browser)\b|\b(?:navegador|navigatore)\b.{0,40}\b(?:no|non|não)\b|cookies? (?:must|need to|are|is|has to|muss|müssen|doivent|deben)"),
+    (4, r"^\W*(?:\S+ ){0,5}(?:error|erreur|fehler|errore|erro|fout|fejl|fel|błąd|virhe|chyba|hiba|status|code) ?(?:http )?[45]\d\d\b|\b[45]\d\d (?:<\*> )?(?:error|nginx|apache|forbidden|bad request|página|pagina)|\bnginx\b|\bapache tomcat\b|cloudflare|\bray id\b|err_[a-z_]+|dns_probe|connection (?:timed out|refused|reset by)"),
+    (4, r"(?:página|pagina|documento?|archivo|pagina's?|sida|sidan|side|siden|strona|stránka)\b.{0,40}\b(?:no (?:se )?(?:ha |ha sido |fue )?encontr|non (?:è stat[oa] )?trovat|não (?:foi )?encontrad|niet gevonden|hittades inte|ikke fundet|nie znaleziono|nenalezena)"),
+    (4, r"(?:sesión|sessione|sessão|sessie)\b.{0,20}\b(?:caducad|expirad|ha expirado|scadut|è scaduta|expirou|verlopen)|(?:acceso denegado|accesso negato|acesso negado|toegang geweigerd)|(?:servicio|servizio|serviço|dienst)\b.{0,20}\b(?:no disponible|non disponibile|indisponível|niet beschikbaar|temporalmente|temporaneamente|temporariamente|tijdelijk)"),
+    (4, r"(?:refresh|reload) (?:the|this|your) (?:page|browser)|this (?:page|site|content) (?:isn't|is not|can't be|cannot be|is no longer) (?:working|available|reached|displayed|shown)|(?:contenido no disponible|contenu (?:non |in)disponible|inhalt nicht verfügbar|contenuto non disponibile|conteúdo (?:não disponível|indisponível)|inhoud niet beschikbaar)|you have been blocked|access to this (?:page|site) (?:has been|is) (?:denied|blocked)|erreur interne du serveur|error interno del servidor|errore interno del server|erro interno do servidor|interne serverfout"),
     (3, r"could not be (?:loaded|displayed|found|retrieved)|cannot load|failed to load|access denied|acc[èe]s refus[ée]|zugriff verweigert|don't have permission|do not have permission|keine berechtigung|permission to (?:view|access)"),
     (3, r"est introuvable|page introuvable|seite (?:wurde )?nicht gefunden|(?:protokoll|dokument)\b.* wurde nicht gefunden|versuchen sie es|r[ée]essayez|try again (?:in|later)"),
     (2, r"javascript|noscript|\bscripts?\b|\bbrowser\b|\bserver\b|serverfehler|\bhttps?\b|nicht gefunden|not found|introuvable|\breload\b|\bunavailable\b|\bexception\b|\bplaceholder\b"),
     (1, r"\berror\b|\berreur\b|\bfehler\b|\bplease\b|\bbitte\b|\byour?\b|\bsession\b|\bpage\b|\bload(?:ing|ed)?\b|\bcolumn\b|\brequest(?:ed|s)?\b|\btranscript\b|\bto follow\b|\btbc\b|\bdisplay\b|\bafficher\b|\banzuzeigen\b"),
+    # what tells speech: somebody speaks, reports or argues; and amendments to wording
     (-5, r"\b(?:i|we|my|our|us|nobody|minister|ministre|minister's|constituents?|honou?rable|hon|told|says?|said|answered|ich|wir|uns|je|nous)\b"),
-    (-5, r"\b(?:as if|pensioners?|nights|weeks|months|years|ago|since|disgrace|clinic|portal|lease|ferry|helpline|message is all|recorded message)\b"),
+    (-10, r"\b(?:as if|ago|since|for (?:years|months|weeks)|wrote|writes|reported|replied|asked|complained|explained|argued|claimed|they|he|she|schrieb|sagte|berichtete|antwortete|fragte|sie sagten|a écrit|a répondu|a dit|a déclaré|ils|dijo|escribió|respondió|ha detto|ha scritto|disse|escreveu|schreef|zei|antwoordde)\b"),
     (-5, r"\b(?:leave out|insert the following|and insert|amendment|clause|schedule)\b"),
 )
 LEAST = 3
@@ -65,12 +77,15 @@ VOCABULARY = (
     r"lorem ipsum|perspiciatis|excepteur|consectetur|ut enim ad|duis aute|nemo enim|neque porro|vero eos|quis nostrud|blindtext|remplissage|faux[- ]texte|dummy|placeholder|sample (?:speech|text)|platzhalter|beispieltext|mustertext"
     r"|replace this|\btest test\b|please ignore|xxx|\btb[cda]\b|asdf|to follow|javascript|script|browser|navigateur|server|serveur|gateway|unavailable|http|establishing|database|datenbank|exception|trace|fault|fatal|syntax error|upstream|rate limit"
     r"|too many|session|ist abgelaufen|sign in|log in|reconnectez|melden sie|looking for|no longer exists|unexpected|error|erreur [45]|erreur interne|^erreur|fehler|not found|template|could not be|cannot load|to load|denied|refus[ée]|verweigert|permission|berechtigung|introuvable|nicht gefunden|versuchen sie|essayez|try again|reload"
-    r"|forbidden|unauthori[sz]ed|[45]\d\d\W+(?:internal|service)"
+    r"|forbidden|unauthori[sz]ed|[45]\d\d\W+(?:internal|service|nginx|página|pagina|bad)"
+    r"|went wrong|algo (?:sali|ha ido|deu|correu)|schief|une erreur|iets mis|andato storto|fout|ocorreu um|occurred|ocurrido|producido|ett fel|fejl|błąd|virhe|chyba|hiba|maintenance|mantenimiento|wartung|manutenzione|manutenção|onderhoud|under construction|captcha|robot|you(?:'re|’re| are) (?:a )?human"
+    r"|coming soon|próximamente|en construc|bientôt disponible|demnächst|im aufbau|binnenkort|prossimamente|in costruzione|em breve|em construção|navegador|navigatore|cookie|nginx|apache|cloudflare|ray id|err_|dns_probe|connection (?:timed|refused|reset)"
+    r"|(?:no|se|ha|sido|fue) encontr|trovat|não (?:foi )?encontrad|niet gevonden|hittades inte|ikke fundet|nie znaleziono|nenalezena|sesión|sessione|sessão|sessie|denegado|negato|acesso negado|geweigerd|no disponible|disponibile|indispon|beschikbaar|(?:refresh|reload) (?:the|this|your)|this (?:page|site|content)|verfügbar|have been blocked|access to this|non disponible|não disponível|erro interno|temporalmente|temporaneamente|temporariamente|tijdelijk|\b(?:erro|fel|code|status) ?[45]\d\d"
 )
 _SLOT = re.compile("|".join(SLOTS))
 _MACHINE_SLOT = re.compile("|".join(SLOTS[:10]))
 _SLOT_HINT = (
-    r"[{}<>%$@#]|\[\[|\[(?i:object)|(?i:undefined|\((?:null|nan)\))|(?m:^\W*(?:undefined|null|NaN|None)\b)|__"
+    r"[{}<>%$@#]|\[[A-Z][a-z]+[A-Z]|\[\[|\[(?i:object)|(?i:undefined|\((?:null|nan)\))|(?m:^\W*(?:undefined|null|NaN|None)\b)|__"
     r"|\[[^\[\]\n]{0,60}(?i:insert|enter|add|fill|your|goes here|follow|name|speaker|member|minister|seat|constituency|party|group|title|text|date|body|paragraph|topic|amount|figure|placeholder|todo|tb[cda]|nom|ins[ée]rer|titre|redner|fraktion|einf|einzu|wahlkreis|datum|betrag|folgt)"
 )
 _VOC = re.compile(VOCABULARY)
@@ -95,7 +110,7 @@ def segments(text: str) -> list[str]:
         if _VOC.search(low):
             words = []
             for w in low.split():
-                core = w.strip(".,:;!?()[]\"'…-–—")
+                core = re.sub(r"(?<=[a-z]{3})/[\d.]+", "", w.strip(".,:;!?()[]\"'…-–—"))
                 digits = any(c.isdigit() for c in core)
                 words.append(core if not digits or re.fullmatch(r"[45]\d\d", core) else "<*>")
             out.append(" ".join(w for w in words if w))
@@ -145,11 +160,11 @@ def mine(found: list[str], similarity: float = 0.6) -> list[tuple[str, str]]:
     return [(s, " ".join(tree.templates[i])) for s, i in zip(found, at)]
 
 
-def find_residue(documents: DataFrame, *, key: str, text: str, depth: int = 3, per_leaf: int = 5_000) -> DataFrame:
+def find_residue(documents: DataFrame, *, key: str, text: str, depth: int = 3) -> DataFrame:
     """Distinct ``key`` of documents that are, or hold, residue.
 
     Null and blank texts are none. A leaf is mined whole by one task, from its different segments only: templates depend on
-    which segments share a tree, so a split would change verdicts. ``per_leaf`` is kept for callers and has no effect.
+    which segments share a tree, so a split would change verdicts.
     Extra columns are ignored.
     """
     kind = documents.schema[key].dataType.simpleString()

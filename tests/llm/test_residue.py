@@ -27,6 +27,27 @@ SPEECH = [
 ]
 
 
+#: Messages and speech in several languages that aren't in the test tables; not all must be found.
+OTHERS = [
+    "Oops! Something went wrong.", "This site is down for maintenance", "Please verify you are a human", "Content coming soon.", "502 / nginx/1.18.0", "Hello [FirstName], your order {0} has shipped.", "Hi {name}", "Lo sentimos, la página no se ha encontrado.",
+    "Su sesión ha caducado.", "Debe habilitar JavaScript para ver este contenido.", "De pagina kon niet worden geladen: fout 500", "Uw browser ondersteunt geen JavaScript.", "Accesso negato. Non hai i permessi.", "Errore 404: pagina non trovata", "Servizio temporaneamente non disponibile.",
+    "A página solicitada não foi encontrada.", "Ein unerwarteter Fehler ist aufgetreten. Laden Sie die Seite neu.", "Cette page est en construction", "Your connection timed out. Refresh the page.", "Dear {{customer}}, thank you.", "Wegen Wartungsarbeiten ist diese Seite nicht erreichbar.", "Sidan hittades inte",
+    "Ha ocurrido un error inesperado", "We'll be right back. Scheduled maintenance in progress.", "Zgoda na pliki cookies jest wymagana", "Just a moment...",
+]
+OTHERS_SPEECH = [
+    "A server error 500 was reported: the service is unavailable, so the clerk wrote to every member.", "He wrote that the page was not found and that the session had expired.", "The bridge at Wellcombe has been under maintenance for years.", "They asked for the robot to be moved from the quay.", "The new line is coming soon enough, said the mayor.",
+    "La ministre a répondu que le serveur était en panne.", "The committee found an error in column 4 of the return.", "Der Abgeordnete sagte, die Seite sei nicht gefunden worden.", "Please accept my apology; the request was unavailable to us.", "The cookie factory closed two years ago.",
+]
+
+
+def test_other_messages_and_speech(spark):
+    df = spark.createDataFrame(list(enumerate(OTHERS + OTHERS_SPEECH)), "doc_id long, text string")
+    got = {r.doc_id for r in find_residue(df, key="doc_id", text="text").collect()}
+    missed = [OTHERS[k] for k in range(len(OTHERS)) if k not in got]
+    wrong = [OTHERS_SPEECH[k - len(OTHERS)] for k in got if k >= len(OTHERS)]
+    assert len(missed) <= 0.2 * len(OTHERS) and not wrong, (missed, wrong)
+
+
 @pytest.mark.parametrize("depth", [2, 3])
 def test_find_residue(spark, depth):
     rows = [(k, t, "clash") for k, t in enumerate(RESIDUE + SPEECH)] + [(None, RESIDUE[0], "c"), (0, RESIDUE[0], "again")]
@@ -38,7 +59,7 @@ def test_find_residue(spark, depth):
 def test_leaf_split_by_hash_gives_the_same(spark):
     rows = [(k, f"You need to enable JavaScript to read the {chr(97 + k % 26)}{chr(97 + k // 26)}x sitting.") for k in range(200)] + [(500 + k, f"The page of the {chr(97 + k % 26)}x book was read.") for k in range(26)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in find_residue(df, key="doc_id", text="text", per_leaf=20).collect()) == list(range(200))
+    assert sorted(r.doc_id for r in find_residue(df, key="doc_id", text="text").collect()) == list(range(200))
     assert find_residue(df.limit(0), key="doc_id", text="text").count() == 0
 
 
@@ -46,7 +67,7 @@ def test_verdicts_do_not_depend_on_the_size_of_a_part(spark):
     # the whole leaf shares one template, in which the weighted words are wildcards; a part with one segment would keep them
     rows = list(enumerate(f"The harbour board wrote that the gate was {x} at the north quay." for x in ("javascript nullpointerexception", "fatal traceback", "forbidden today", "not found", "no longer exists")))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [sorted(r.doc_id for r in find_residue(df, key="doc_id", text="text", per_leaf=k).collect()) for k in (1, 5_000)]
+    got = [sorted(r.doc_id for r in find_residue(df.repartition(k), key="doc_id", text="text").collect()) for k in (1, 5)]
     assert got[0] == got[1] and len(got[1]) < len(rows)
 
 
