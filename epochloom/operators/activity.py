@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochloom.operators.islands import merge_tolerance, run_lengths
@@ -108,17 +108,24 @@ def complete_hours(df: DataFrame, s: EpochSchema, fill: dict[str, float]) -> Dat
     return grid.join(df, [s.pid, s.day, "hour"], "left").fillna(fill)
 
 
+def bout_table(
+    df: DataFrame, levels: list[str], lengths: list[float], s: EpochSchema, *, resolution: str = "day", allowance: float = 0, sleep: str | None = None
+) -> DataFrame:
+    """(pid, day[, hour], one column ``<level>_<minutes>`` a level and length): :func:`bouts` of each, 0 where there are none.
 
-
-def bout_table(df: DataFrame, levels: list[str], lengths: list[float], s: EpochSchema, *, resolution: str = "day", **kwargs) -> DataFrame:
-    """(pid, day[, hour], one column ``<level>_<minutes>`` a level and length): bouts, 0 where there are none."""
-    keys = [s.pid, s.day, *(["hour"] if resolution == "hour" else [])]
-    long = None
-    for level in levels:
-        for minutes in lengths:
-            one = bouts(df, level, minutes, s, resolution=resolution, **kwargs).withColumn("__what", F.lit(f"{level}_{minutes:g}"))
-            long = one if long is None else long.unionByName(one)
-    names = [f"{v}_{m:g}" for v in levels for m in lengths]
-    grid = df.select(*_keys(s, resolution)).distinct()
-    wide = long.groupBy(*keys).pivot("__what", names).agg(F.sum("n_bouts"))
-    return grid.join(wide, keys, "left").fillna(0, names)
+    The runs of all levels come from one pass over the epochs and are counted for all lengths in one aggregation.
+    """
+    x, w, names = df, s.window(), range(len(levels))
+    for i, level in enumerate(levels):
+        x = x.withColumn(f"__l{i}", F.coalesce(F.col(level), F.lit(False)))
+        x = merge_tolerance(x, f"__l{i}", allowance, s) if allowance > 0 else x
+    x = x.select("*", *[(F.lag(F.lit(1)).over(w).isNull() | ~F.col(f"__l{i}").eqNullSafe(F.lag(f"__l{i}").over(w))).cast("int").alias(f"__n{i}") for i in names])
+    x = x.select("*", *[F.sum(f"__n{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__q{i}") for i in names])
+    awake = ~F.coalesce(F.col(sleep).cast("boolean"), F.lit(False)) if sleep else F.lit(True)
+    place = F.when(awake, F.struct(*[F.col(c) for c in (s.time, *([s.row] if s.row else []))], *[k.alias(f"k{i}") for i, k in enumerate(_keys(s, resolution)[1:])]))
+    runs = x.select(s.pid, place.alias("at"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__l{i}").alias("l"), F.col(f"__q{i}").alias("q")) for i in names])).alias("r")).where("r.l")
+    runs = runs.groupBy(s.pid, "r.i", "r.q").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("at is not null")
+    keys = [s.day, *(["hour"] if resolution == "hour" else [])]
+    counts = {f"{v}_{m:g}": F.count_if((F.col("i") == i) & (F.col("n") >= m * s.per_minute)) for i, v in enumerate(levels) for m in lengths}
+    table = runs.groupBy(s.pid, *[F.col(f"at.k{j}").alias(k) for j, k in enumerate(keys)]).agg(*[c.alias(n) for n, c in counts.items()])
+    return df.select(*_keys(s, resolution)).distinct().join(table, [s.pid, *keys], "left").fillna(0, list(counts))

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochloom.operators.islands import run_value
 from epochloom.schema import EpochSchema
 
 _PAST = (Window.unboundedPreceding, -1)
@@ -50,14 +51,14 @@ def run_lengths(df: DataFrame, col: str, s: EpochSchema, *, length: str = "hyp_s
     """As :func:`epochloom.operators.islands.run_lengths`, in blocks of time."""
     x = df.withColumn("__tb", F.floor(s.seconds(df) / block_s))
     w = s.window("__tb")
-    v = F.coalesce(F.col(col), F.lit(False) if dict(df.dtypes)[col] == "boolean" else F.lit(0))
-    x = x.withColumn("__v", v).withColumn("__new", F.coalesce((v != F.lag(v).over(w)).cast("int"), F.lit(1)))
+    v = run_value(df, col)
+    x = x.withColumn("__v", v).withColumn("__new", (F.lag(F.lit(1)).over(w).isNull() | ~v.eqNullSafe(F.lag(v).over(w))).cast("int"))
     x = x.withColumn("__r", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = x.groupBy(s.pid, "__tb", "__r").agg(F.first("__v").alias("__v"), F.count("*").alias("__n"))
     pieces = pieces.withColumn("__last", F.max("__r").over(Window.partitionBy(s.pid, "__tb")))
     edges = pieces.where("__r = 1 or __r = __last")
     we = Window.partitionBy(s.pid).orderBy("__tb", "__r")
-    joined = (F.col("__r") == 1) & (F.lag("__v").over(we) == F.col("__v")) & (F.lag("__tb").over(we) < F.col("__tb"))
+    joined = (F.col("__r") == 1) & F.lag("__v").over(we).eqNullSafe(F.col("__v")) & (F.lag("__tb").over(we) < F.col("__tb"))
     edges = edges.withColumn("__joined", F.coalesce(joined.cast("int"), F.lit(0)))
     edges = edges.withColumn("__chain", F.sum(1 - F.col("__joined")).over(we.rowsBetween(Window.unboundedPreceding, 0)))
     edges = edges.withColumn("__total", F.sum("__n").over(Window.partitionBy(s.pid, "__chain")))

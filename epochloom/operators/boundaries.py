@@ -36,11 +36,11 @@ def _bins(t: Column, start_hour: int) -> Column:
     return F.floor((t - start_hour * 3600) / 86_400)
 
 
-def _bin_quantile(df: DataFrame, value: Column, s: EpochSchema, start_hour: int, q: float, out: str) -> DataFrame:
+def _bin_quantile(df: DataFrame, value: Column, s: EpochSchema, start_hour: int, q: float | list[float], out: str) -> DataFrame:
     """Interpolated quantile of a column's values per participant and 24-hour bin, on every epoch; bins without values
     take the one before, else the one after."""
     x = df.withColumn("__bin", _bins(s.seconds(df), start_hour))
-    per = x.groupBy(s.pid, "__bin").agg(F.percentile(value, F.lit(q)).alias("__q"))
+    per = x.groupBy(s.pid, "__bin").agg(F.percentile(value, F.array(*map(F.lit, q)) if isinstance(q, list) else F.lit(q)).alias("__q"))
     w = Window.partitionBy(s.pid).orderBy("__bin")
     filled = F.coalesce(F.last("__q", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last("__q", ignorenulls=True).over(Window.partitionBy(s.pid).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, 0)))
     per = per.select(s.pid, "__bin", filled.alias(out))
@@ -53,7 +53,7 @@ def _full(frame: Window, n: int, value: Column) -> Column:
 
 def by_heart_rate(
     df: DataFrame, s: EpochSchema, *, quantile: float = 0.4, volatility: float = 5, rolling_minutes: float = 5, search: tuple[int, int] = (20, 12), min_minutes: float = 40,
-    volatility_minutes: float = 10, merge_minutes: float = 240, only_in_search: bool = False, only_largest: bool = False, out: str = "hyp_sleep_period", extra_keys: tuple[str, ...] = (),
+    volatility_minutes: float = 10, merge_minutes: float = 240, only_in_search: bool = False, only_largest: bool = False, out: str = "hyp_sleep_period",
 ) -> DataFrame:
     """Epochs whose heart rate stays below its daily quantile, smoothed, merged, and extended to volatile epochs nearby.
 
@@ -62,9 +62,40 @@ def by_heart_rate(
     """
     if not s.hr or s.hr not in df.columns:
         raise AttributeError("needs a heart-rate column")
-    if extra_keys:
-        raise ValueError("use epochloom.operators.sweep for parameter grids")
-    epochs = lambda m: max(1, round(m * s.per_minute))
+    start, end = search
+    x = _searched(df, s, search)
+    x = _bin_quantile(x, F.col("__hr"), s, start, quantile, "__thr")
+    picked = _below(x, s, volatility=F.lit(volatility), rolling_minutes=rolling_minutes, start=start, min_minutes=F.lit(min_minutes), volatility_minutes=volatility_minutes, merge_minutes=merge_minutes, only_in_search=only_in_search, only_largest=only_largest, out=out)
+    return picked.select(*[c for c in df.columns if c != out], out)
+
+
+def sweep_heart_rate(
+    df: DataFrame, s: EpochSchema, *, quantiles: list[float], min_minutes: list[float], merge_minutes: list[float], volatilities: tuple[float, ...] = (5,), rolling_minutes: float = 5, search: tuple[int, int] = (20, 12),
+    volatility_minutes: float = 10, only_in_search: bool = False, only_largest: bool = False, out: str = "hyp_sleep_period",
+) -> DataFrame:
+    """:func:`by_heart_rate` for every combination of the lists, in one plan: (the table's columns, ``param_id``, ``quantile``, ``volatility``,
+    ``min_minutes``, ``merge_minutes``, ``out``). ``merge_minutes`` mustn't be negative.
+
+    A day's quantiles come from one aggregation; then every epoch is repeated for each combination, which is a further
+    key of all windows, so a participant's combinations are spread over tasks.
+    """
+    if not s.hr or s.hr not in df.columns:
+        raise AttributeError("needs a heart-rate column")
+    grid = list(itertools.product(range(len(quantiles)), volatilities, min_minutes, merge_minutes))
+    if not grid or min(merge_minutes) < 0:
+        raise ValueError("needs values for every parameter, and no negative merge_minutes")
+    x = _searched(df, s, search)
+    x = _bin_quantile(x, F.col("__hr"), s, search[0], [float(q) for q in quantiles], "__all")
+    names = ("param_id", "__qi", "volatility", "min_minutes", "merge_minutes")
+    combos = F.array(*[F.struct(F.lit(i).alias(names[0]), F.lit(q).alias(names[1]), *[F.lit(float(v)).alias(n) for n, v in zip(names[2:], rest)]) for i, (q, *rest) in enumerate(grid)])
+    x = x.withColumn("__p", F.explode(combos)).select("*", "__p.*").withColumn("__thr", F.get("__all", F.col("__qi"))).withColumn("quantile", F.get(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("__qi")))
+    keyed = s.at(blocks=(*s.blocks, "param_id"))
+    picked = _below(x, keyed, volatility=F.col("volatility"), rolling_minutes=rolling_minutes, start=search[0], min_minutes=F.col("min_minutes"), volatility_minutes=volatility_minutes, merge_minutes=F.col("merge_minutes"), only_in_search=only_in_search, only_largest=only_largest, out=out)
+    return picked.select(*[c for c in df.columns if c != out], "param_id", "quantile", "volatility", "min_minutes", "merge_minutes", out)
+
+
+def _searched(df: DataFrame, s: EpochSchema, search: tuple[int, int]) -> DataFrame:
+    """Add whether an epoch is outside the search window (``__out``) and its heart rate inside (``__hr``)."""
     start, end = search
     t = s.seconds(df)
     clock = t - F.floor(t / 86_400) * 86_400
@@ -73,9 +104,14 @@ def by_heart_rate(
     else:
         lo, hi = end * 3600, start * 3600
         outside = (clock > lo) & (clock < hi) if lo < hi else (clock > lo) | (clock < hi)
-    w = s.window()
-    x = df.withColumn("__out", outside).withColumn("__hr", F.when(~outside, F.col(s.hr).cast("double")))
-    x = _bin_quantile(x, F.col("__hr"), s, start, quantile, "__thr")
+    return df.withColumn("__out", outside).withColumn("__hr", F.when(~outside, F.col(s.hr).cast("double")))
+
+
+def _below(
+    x: DataFrame, s: EpochSchema, *, volatility: Column, rolling_minutes: float, start: int, min_minutes: Column, volatility_minutes: float, merge_minutes: float | Column, only_in_search: bool, only_largest: bool, out: str
+) -> DataFrame:
+    """The steps after the quantile (``__thr``) is known."""
+    w, epochs = s.window(), lambda m: max(1, round(m * s.per_minute))
     x = x.withColumn("__low", F.when(F.col("__hr") - F.col("__thr") > 0, 0.0).otherwise(1.0))
     n = epochs(rolling_minutes)
     frame = w.rowsBetween(-(n - 1), 0)
@@ -85,34 +121,34 @@ def by_heart_rate(
     if only_in_search:
         x = x.withColumn("__med", F.when(F.col("__out"), 0.0).otherwise(F.col("__med")))
     x = run_lengths(x.withColumn("__m2", (F.col("__med") * 2).cast("int")), "__m2", s, length="__len", seq="__seq")
-    x = x.withColumn("__cand", (F.col("__med") == 1.0) & (F.col("__len") > epochs(min_minutes)))
+    x = x.withColumn("__cand", (F.col("__med") == 1.0) & (F.col("__len") > F.greatest(F.lit(1), F.rint(min_minutes * s.per_minute))))
     v = epochs(volatility_minutes)
     around = w.rowsBetween(-(v - 1 - (v - 1) // 2), (v - 1) // 2)
     x = x.withColumn("__vol", F.coalesce(_full(around, v, F.when(F.count(s.hr).over(around) == v, F.stddev_samp(F.col(s.hr).cast("double")).over(around))), F.lit(0.0)))
     x = with_day(x.drop("__len", "__seq"), s, start, out=_DAY)
     x = merge_tolerance(x, "__cand", merge_minutes, s, by=(_DAY,))
     x = _extend(x, s, volatility)
-    picked = largest_run(x, "__cand", s, by=(_DAY,), out=out) if only_largest else x.withColumn(out, F.col("__cand"))
-    return picked.select(*[c for c in df.columns if c != out], out)
+    return largest_run(x, "__cand", s, by=(_DAY,), out=out) if only_largest else x.withColumn(out, F.col("__cand"))
 
 
-def _extend(x: DataFrame, s: EpochSchema, threshold: float) -> DataFrame:
+def _extend(x: DataFrame, s: EpochSchema, threshold: Column) -> DataFrame:
     """Extend runs of candidates back to the last volatile epoch of [start - 4 h, start + 1 h] and on to the first of
     [end - 1 min, end + 2 h]. Every run is judged from its own bounds; it never shrinks."""
     t = s.seconds(x)
     x = run_lengths(x.withColumn("__t", t), "__cand", s, length="__len", seq="__seq")
-    w = Window.partitionBy(s.pid).orderBy("__t")
+    who = [s.pid, *s.blocks]
+    w = Window.partitionBy(*who).orderBy("__t")
     wild = F.when(F.col("__vol") > threshold, F.col("__t"))
     # seen from a run's first (last) epoch these frames hold the epochs that may move its bound
     x = x.withColumn("__lo", F.max(wild).over(w.rangeBetween(-4 * 3600, 3600))).withColumn("__hi", F.min(wild).over(w.rangeBetween(-60, 2 * 3600)))
-    runs = x.where("__cand").groupBy(s.pid, "__seq").agg(
+    runs = x.where("__cand").groupBy(*who, "__seq").agg(
         F.min("__t").alias("a"), F.max("__t").alias("b"), F.min_by("__lo", "__t").alias("lo"), F.max_by("__hi", "__t").alias("hi")
     )
-    runs = runs.select(s.pid, F.least("a", F.coalesce("lo", "a")).alias("a"), F.greatest("b", F.coalesce("hi", "b")).alias("b"))
+    runs = runs.select(*who, F.least("a", F.coalesce("lo", "a")).alias("a"), F.greatest("b", F.coalesce("hi", "b")).alias("b"))
     # an epoch is inside a run if the furthest end of the runs begun so far isn't past
-    begun = runs.select(s.pid, F.col("a").alias("__t"), F.col("b").alias("__until"), F.lit(0).alias("__e"))
+    begun = runs.select(*who, F.col("a").alias("__t"), F.col("b").alias("__until"), F.lit(0).alias("__e"))
     both = x.withColumn("__e", F.lit(1)).unionByName(begun, allowMissingColumns=True)
-    order = Window.partitionBy(s.pid).orderBy("__t", "__e").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*who).orderBy("__t", "__e").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__cand", F.coalesce(F.max("__until").over(order) >= F.col("__t"), F.lit(False)))
     return both.where("__e = 1").drop("__e", "__until", "__t", "__lo", "__hi", "__len", "__seq")
 

@@ -123,9 +123,9 @@ def standard_scale(df: DataFrame, columns: list[str], *, by: tuple[str, ...] = (
         w = Window.partitionBy(*by)
         scale = {c: (F.avg(c).over(w), F.stddev_pop(c).over(w)) for c in columns}
         return df.select(*[c for c in df.columns if c not in columns], *[((F.col(c) - m) / F.when(d > 0, d).otherwise(1.0)).alias(c) for c, (m, d) in scale.items()])
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"d_{c}") for c in columns]).first()
-    scaled = {c: (F.col(c) - row[f"m_{c}"]) / (row[f"d_{c}"] or 1.0) for c in columns if row[f"m_{c}"] is not None}
-    return df.withColumns(scaled)
+    row = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__d_{c}") for c in columns])  # one row
+    scaled = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__d_{c}") > 0, F.col(f"__d_{c}")).otherwise(1.0) for c in columns}
+    return df.crossJoin(row).withColumns(scaled).select(*df.columns)
 
 
 def one_hot(df: DataFrame, column: str, values: list, *, prefix: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epochloom.schema import EpochSchema
 
@@ -11,29 +12,36 @@ _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def run_lengths(df: DataFrame, col: str, s: EpochSchema, *, by: tuple[str, ...] = (), length: str = "hyp_seq_length", seq: str = "hyp_seq_id") -> DataFrame:
-    """Add the length of each epoch's run of equal ``col`` and the run's number from 0; null counts as False or 0."""
-    w = s.window(*by)
-    v = F.coalesce(F.col(col), F.lit(False) if dict(df.dtypes)[col] == "boolean" else F.lit(0))
-    new = F.coalesce((v != F.lag(v).over(w)).cast("int"), F.lit(1))
-    out = df.withColumn("__new", new)
+    """Add the length of each epoch's run of equal ``col`` and the run's number from 0. The column may have any type; null
+    counts as False or 0 where it is boolean or a number, else as a value of its own."""
+    w, v = s.window(*by), run_value(df, col)
+    out = df.withColumn("__new", (F.lag(F.lit(1)).over(w).isNull() | ~v.eqNullSafe(F.lag(v).over(w))).cast("int"))
     out = out.withColumn(seq, (F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("__new")
-    return out.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(s.pid, *by, seq)).cast("int"))
+    return out.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(s.pid, *s.blocks, *by, seq)).cast("int"))
+
+
+def run_value(df: DataFrame, col: str) -> Column:
+    """What runs of a column compare: null is False or 0 where the type has one of them."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(F.col(col), F.lit(False))
+    return F.coalesce(F.col(col), F.lit(0).cast(kind)) if isinstance(kind, T.NumericType) else F.col(col)
 
 
-def merge_tolerance(df: DataFrame, col: str, minutes: float, s: EpochSchema, *, by: tuple[str, ...] = (), out: str | None = None) -> DataFrame:
+def merge_tolerance(df: DataFrame, col: str, minutes: float | Column, s: EpochSchema, *, by: tuple[str, ...] = (), out: str | None = None) -> DataFrame:
     """Set gaps between True epochs that are at most ``minutes`` apart; negative minutes join everything from first to last."""
     w = s.window(*by)
     flag, t = F.coalesce(F.col(col), F.lit(False)), s.seconds(df)
     before = F.max(F.when(flag, t)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(flag, t)).over(s.window_back(*by).rowsBetween(Window.unboundedPreceding, 0))
-    close = F.lit(True) if minutes < 0 else after - before <= minutes * 60
+    close = after - before <= minutes * 60 if isinstance(minutes, Column) else F.lit(True) if minutes < 0 else after - before <= minutes * 60
     return df.withColumn(out or col, flag | F.coalesce(close & before.isNotNull() & after.isNotNull(), F.lit(False)))
 
 
 def largest_run(df: DataFrame, col: str, s: EpochSchema, *, by: tuple[str, ...] = (), out: str) -> DataFrame:
     """Flag the epochs of each group's longest run of True; the first of equal ones; False throughout if there is none."""
     runs = run_lengths(df, col, s, by=by, length="__len", seq="__seq")
-    best = F.max(F.when(F.col(col), F.struct(F.col("__len").alias("n"), (-F.col("__seq")).alias("k")))).over(Window.partitionBy(s.pid, *by))
+    best = F.max(F.when(F.col(col), F.struct(F.col("__len").alias("n"), (-F.col("__seq")).alias("k")))).over(Window.partitionBy(s.pid, *s.blocks, *by))
     hit = F.col(col) & (best["n"] == F.col("__len")) & (best["k"] == -F.col("__seq"))
     return runs.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__len", "__seq")
 

@@ -93,9 +93,9 @@ def _regularity(rows: DataFrame, days: DataFrame, s: EpochSchema, name: str) ->
     w = Window.partitionBy(s.pid).orderBy("__r")
     size = size.withColumn("__before", F.lag("__n").over(w)).where("__r > 1")
     ranked = at.join(rank, [s.pid, s.day]).select(s.pid, "__r", "__k", "__l")
-    same = ranked.alias("a").join(
-        ranked.select(F.col(s.pid), (F.col("__r") + 1).alias("__r"), "__k", F.col("__l").alias("__m")).alias("b"), [s.pid, "__r", "__k"]
-    ).groupBy(s.pid, "__r").agg(F.sum((F.col("__l") == F.col("__m")).cast("int")).alias("__same"))
+    by_place = Window.partitionBy(s.pid, "__k").orderBy("__r")  # the epoch of equal position of the day before
+    seen = ranked.select(s.pid, "__r", (F.lag("__r").over(by_place) == F.col("__r") - 1).alias("__next"), (F.lag("__l").over(by_place) == F.col("__l")).cast("int").alias("__eq"))
+    same = seen.where("__next").groupBy(s.pid, "__r").agg(F.sum("__eq").alias("__same"))
     out = size.join(same, [s.pid, "__r"], "left")
     return out.select(s.pid, s.day, F.when((F.col("__n") == F.col("__before")) & (F.col("__n") > 0), 100.0 * F.coalesce("__same", F.lit(0)) / F.col("__n")).alias(name))
 

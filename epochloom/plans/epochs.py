@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from epochloom.operators import activity, blocks, boundaries, circadian, days, features, islands, joins, metrics, nonwear, scoring, sweep, validate, views
 from epochloom.plans.pipeline import feature_tables
 from epochloom.runtime import table
-from epochloom.schema import EpochSchema
+from epochloom.schema import MESA, EpochSchema, SourceConfig
+from epochloom.sources import readers
 
 S = EpochSchema(row="hyp_row", hr="hr", freq_s=3600, annotation="ann")
 CUTS = activity.Cutoffs((40.0, 120.0, 250.0), ("sed", "light", "mod", "vig"))
@@ -135,13 +136,13 @@ def sazonov(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score(dense(spark, sf), "Sazonov", S).select("pid", "hyp_row", "Sazonov")
 
 
-def _webster(rules: str) -> str:
+def _webster(rules: str, start: str = "select pid, hyp_row, t, calm::int as l from d", v: str = "w") -> str:
     frames = {"a": [(-4, -1)], "b": [(-10 - k, -1 - k) for k in range(3)], "c": [(-15 - k, -1 - k) for k in range(4)], "d": [(-15, -6), (6, 15)], "e": [(-29, -10), (10, 29)]}
     side = lambda k: f"{-k} preceding" if k < 0 else f"{k} following"
-    sql, src = ", w0 as (select pid, hyp_row, t, calm::int as l from d)", "w0"
+    sql, src = f", {v}0 as ({start})", f"{v}0"
     for r in rules:
         test = " and ".join(f"coalesce(sum(l) over (partition by pid order by t rows between {side(a)} and {side(b)}) > 0, false)" for a, b in frames[r])
-        sql, src = sql + f", w_{r} as (select pid, hyp_row, t, case when {test} then l else 0 end as l from {src})", f"w_{r}"
+        sql, src = sql + f", {v}_{r} as (select pid, hyp_row, t, case when {test} then l else 0 end as l from {src})", f"{v}_{r}"
     return sql + f" select pid, hyp_row, l::int as rescored from {src}"
 
 
@@ -158,9 +159,18 @@ for _rules in ("a", "b", "c", "d", "e", "abcde"):
     _query(_webster(_rules))(_rescored(_rules))
 
 
-@_query()
+_RAW = f"""select pid, hyp_row, t, (0.204 * ({_lin(scoring.SCRIPPS)}) < 1)::int as ScrippsClinic, ({_lin(scoring.OAKLEY)} <= 10)::int as Oakley, (0.00001 * ({_lin(scoring.COLE_KRIPKE)}) < 1)::int as "Cole-Kripke",
+ coalesce((7.601 - 0.065 * avg(a) over (partition by pid order by t rows between 5 preceding and 5 following) - 0.056 * stddev_samp(a) over (partition by pid order by t rows between 5 preceding and current row) - 0.0703 * ln(a + 1)
+ - 1.08 * sum(case when a between 50 and 100 then 1 else 0 end) over (partition by pid order by t rows between 5 preceding and 5 following) > 0)::int, 0) as Sadeh,
+ (1.727""" + "".join(f" - {c} * max(a) over (partition by pid order by t rows between {k} preceding and current row)" for k, c in enumerate(scoring.SAZONOV)) + f" >= 0.5)::int as Sazonov from d{_W}"
+_ALL_SCORES = ", raw as (" + _RAW + ")" + "".join(_webster("abcde", f"select pid, hyp_row, t, {n} as l from raw", v).rsplit(" select pid, hyp_row", 1)[0] for n, v in (("ScrippsClinic", "c"), ("Sadeh", "h"), ("Oakley", "o"), ('"Cole-Kripke"', "k"), ("Sazonov", "z")))
+
+
+@_query(_ALL_SCORES + """ select raw.* exclude (t), c_e.l::int as RescoredScrippsClinic, h_e.l::int as RescoredSadeh, o_e.l::int as RescoredOakley, k_e.l::int as "RescoredCole-Kripke", z_e.l::int as RescoredSazonov
+ from raw join c_e using (pid, hyp_row) join h_e using (pid, hyp_row) join o_e using (pid, hyp_row) join k_e using (pid, hyp_row) join z_e using (pid, hyp_row)""")
 def all_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score_all(dense(spark, sf), S, rescoring=True).drop("hyp_time_col")
+    names = ["ScrippsClinic", "Sadeh", "Oakley", "Cole-Kripke", "Sazonov"]
+    return scoring.score_all(dense(spark, sf), S, rescoring=True).select("pid", "hyp_row", *names, *[f"Rescored{n}" for n in names])
 
 
 @_query(""" select pid, day as hyp_exp_day, sum(ann::int) * 60.0::double as tst_min, min(case when ann then t end) as onset, max(case when ann then t end) as "offset" from d group by pid, day""")
@@ -739,3 +749,78 @@ def annotation_from_values(spark: SparkSession, sf: str) -> DataFrame:
     x = e.select(F.col("user_id").cast("string").alias("pid"), "event_type", "value", F.row_number().over(EpochSchema(pid="user_id", time="ts", row="event_id").window()).alias("hyp_row"))
     stage = features.annotation_from(F.col("event_type"), ["view", "signup"]) | (F.col("value") < 60)
     return x.select("pid", "hyp_row", stage.cast("int").alias("stage_sleep"), features.annotation_from(F.col("event_type"), ["error"], negate=True).cast("int").alias("not_error"))
+
+
+M = EpochSchema(pid="id", row="line_no", activity=("stdmet_highic_branch",), hr="mean_hr", freq_s=60)
+
+
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-minute recordings at their own sampling: a participant's lines, once each, in minutes from a common start."""
+    x = table(spark, sf_dir, "small_collection_fenland_full").where("id is not null and line_no is not null")
+    x = x.groupBy("id", "line_no").agg(F.max_by("stdmet_highic_branch", "row_id").alias("stdmet_highic_branch"), F.max_by("mean_hr", "row_id").alias("mean_hr"))
+    return x.withColumn("hyp_time_col", F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(0, 0, line_no)"))
+
+
+@_query()
+def boundary_hr_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """The heart-rate detector with its default parameters on one-minute epochs."""
+    return boundaries.by_heart_rate(minutes(spark, sf), M).select("id", "line_no", _i("hyp_sleep_period"))
+
+
+@_query()
+def boundary_hr_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Minutes asleep per combination of 5 quantiles, 5 least lengths and 5 merge tolerances, all in one plan."""
+    x = boundaries.sweep_heart_rate(minutes(spark, sf), M, quantiles=[0.3, 0.35, 0.4, 0.45, 0.5], min_minutes=[20, 30, 40, 50, 60], merge_minutes=[60, 120, 180, 240, 300])
+    return x.groupBy("param_id", "quantile", "volatility", "min_minutes", "merge_minutes").agg(F.count_if("hyp_sleep_period").alias("minutes_asleep"))
+
+
+_HYP = """with e as (select pid, hyp_time_col as t, arg_max(coalesce(hyp_sleep_bin, -99), (received_at, row_id)) as b from hyp_epochs where pid is not null and hyp_time_col is not null group by all),
+v as (select pid, epoch(t)::bigint as s, case when b > -50 and not isnan(b) then floor(b + 0.5)::int end as l from e)"""
+
+
+@_query(_HYP + """, f as (select *, case when coalesce(l, 0) is distinct from lag(coalesce(l, 0)) over (partition by pid order by s) then 1 else 0 end as nw from v),
+r as (select *, (sum(nw) over (partition by pid order by s rows unbounded preceding) - 1)::int as seq from f)
+select pid, seq, any_value(coalesce(l, 0)) as level, count(*)::int as len, min(s) as start_s from r group by pid, seq""", base=False)
+def run_lengths_half_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of the rounded label of the half-minute epochs, in blocks, as one participant holds a tenth of them."""
+    e = table(spark, sf, "hyp_epochs").where("pid is not null and hyp_time_col is not null")
+    e = e.groupBy("pid", "hyp_time_col").agg(F.max_by("hyp_sleep_bin", F.struct("received_at", "row_id")).alias("b"))
+    x = e.select("pid", "hyp_time_col", F.when(~F.isnan("b"), F.floor(F.col("b") + 0.5).cast("int")).alias("level"))
+    s = EpochSchema()
+    runs = blocks.run_lengths(x, "level", s, length="len", seq="seq").withColumn("start_s", s.seconds(x))
+    return runs.groupBy("pid", "seq").agg(F.first(F.coalesce("level", F.lit(0))).alias("level"), F.first("len").alias("len"), F.min("start_s").alias("start_s"))
+
+
+@_query("select user_id::varchar as pid, event_id::bigint as hyp_row, date_trunc('second', ts) as hyp_time_col, value as hyp_act_x, value + 1 as hyp_hr, event_type in ('view', 'click') as hyp_annotation from events", base=False)
+def source_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Epochs of a format with its own column names and time texts."""
+    raw = table(spark, sf, "events").select(F.col("user_id").alias("who"), "event_id", F.date_format("ts", "yyyy-MMM-dd HH:mm:ss").alias("at"), F.col("value").cast("string").alias("counts"), (F.col("value") + 1).alias("rate"), "event_type")
+    cfg = SourceConfig(("counts",), "at", pid="who", hr="rate", strftime="%Y-%b-%d %H:%M:%S", annotation=("event_type", ("view", "click")))
+    return readers.standardise(raw, cfg, order="event_id").select("pid", "hyp_row", "hyp_time_col", "hyp_act_x", "hyp_hr", "hyp_annotation")
+
+
+@_query(" select pid, hyp_row, timestamp '2017-01-03 09:00:00' + to_seconds(30 * (hyp_row - 1)) as hyp_time_col, a as hyp_act_x from d")
+def source_weekday_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates from a day of week and times of day alone."""
+    clock = F.date_format(F.expr("timestamp_ntz'2017-01-03 09:00:00' + make_dt_interval(0, 0, 0, 30 * (hyp_row - 1))"), "HH:mm:ss")
+    raw = dense(spark, sf).select(F.col("pid").alias("mesaid"), F.col("hyp_row").alias("line"), clock.alias("linetime"), F.col("hyp_act_x").alias("activity"), F.lit(3).alias("dayofweek"))
+    return readers.standardise(raw, MESA, order="line").select("pid", "hyp_row", "hyp_time_col", "hyp_act_x")
+
+
+@_query(", x as (select event_id % 6 as k, * from events) select '7' as pid, event_type as device, event_id::varchar as serial, date_trunc('minute', ts) as hyp_time_col, k::int as auto0_man1, case when k = 0 then value when k = 1 then value + 1 else 0 end as gluc_mgdl, case when k = 2 then value end as ket_mmol from x")
+def source_glucose(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of a glucose export."""
+    k, v = F.col("event_id") % 6, F.col("value")
+    raw = table(spark, sf, "events").select(
+        F.col("event_type").alias("Device"), F.col("event_id").cast("string").alias("Serial Number"), F.date_format("ts", "MM-dd-yyyy hh:mm a").alias("Device Timestamp"), k.cast("string").alias("Record Type"),
+        F.when(k == 0, v.cast("string")).alias("Historic Glucose mg/dL"), F.when(k == 1, (v + 1).cast("string")).alias("Scan Glucose mg/dL"), F.when(k == 2, v.cast("string")).alias("Ketone mmol/L"),
+    )
+    return readers.glucose(raw, pid="7")
+
+
+@_query("select c_custkey::varchar as id, case when c_custkey % 4 <> 0 then ((c_custkey % 24) * 3600 + (c_custkey % 60) * 60)::double end as bed, case when c_custkey % 3 <> 0 then c_acctbal end as score from customer", base=False)
+def source_demographics(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributes with clock texts and sentinels."""
+    k = F.col("c_custkey")
+    raw = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 4 == 0, "L").otherwise(F.format_string("%02d:%02d", k % 24, k % 60)).alias("bed"), F.when(k % 3 == 0, "S").otherwise(F.col("c_acctbal").cast("string")).alias("score"), "c_name")
+    return readers.demographics(raw, pid="id", clocks=["bed"], columns=["bed", "score"])

@@ -28,12 +28,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files (eager)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spill(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the checkpoint folder and read it from there.
 

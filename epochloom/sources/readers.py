@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,8 +91,14 @@ def standardise(df: DataFrame, cfg: SourceConfig, *, pid: str | None = None, ord
 
 
 def read_epochs(spark: SparkSession, path: str | list[str], cfg: SourceConfig, *, schema=None, pid: str | None = None) -> DataFrame:
-    """Read files (glob or list) of one format as one epoch table."""
-    return standardise(read_file(spark, path, schema), cfg, pid=pid)
+    """Read files (glob or list) of one format as one epoch table; ``hyp_row`` numbers a participant's rows by file and place in it."""
+    x = read_file(spark, path, schema)
+    if pid is None and cfg.pid not in x.columns:
+        raise ValueError(f"no participant column {cfg.pid!r}")
+    # within a part of a file, rows are numbered in order
+    x = x.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__part"), F.monotonically_increasing_id().alias("__id"))
+    w = Window.partitionBy(F.lit(0) if pid is not None else F.col(cfg.pid)).orderBy("__file", "__part", "__id")
+    return standardise(x.withColumn("__order", F.row_number().over(w)), cfg, pid=pid, order="__order").drop("__file", "__part", "__id", "__order")
 
 
 def write_epochs(df: DataFrame, s: EpochSchema, path: str, *, buckets: int = 64) -> None:
@@ -131,10 +138,18 @@ def glucose(df: DataFrame, *, pid: str | None = None, pattern: str = "MM-dd-yyyy
 
 
 def read_glucose(spark: SparkSession, path: str, **kwargs) -> DataFrame:
-    """A glucose export file, whose header is the second line."""
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", "\r?\n"), 3, 2**30)).alias("value"))
-    header = spark.read.text(path).limit(2).collect()[1]["value"].split(",")
-    parsed = lines.where(F.trim("value") != "").select(F.from_csv("value", ", ".join(f"`{h.strip()}` string" for h in header)).alias("r"))
+    """Glucose export files, whose header is the second line; files of one header are read together.
+
+    Lines are told by their place in their file. A quoted field may hold commas, but no line break.
+    """
+    lines = spark.read.text(path).select(F.rtrim("value", F.lit("\r")).alias("value"), F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    first = lines.where("at.file_block_start = 0").groupBy("f").agg(F.min("at").alias("a"))
+    second = lines.join(first, "f").where("at > a").groupBy("f").agg(F.min_by("value", "at").alias("header"), F.min("at").alias("b"))
+    headers = [r["header"] for r in second.select("header").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError("needs files with one and the same header")
+    fields = ", ".join(f"`{h.strip()}` string" for h in next(csv.reader(headers)))
+    parsed = lines.join(second, "f").where((F.col("at") > F.col("b")) & (F.trim("value") != "")).select(F.from_csv("value", fields).alias("r"))
     return glucose(parsed.select("r.*"), **kwargs)
 
 

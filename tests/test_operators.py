@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from epochloom.operators import activity, boundaries, circadian, days, features, islands, joins, metrics, nonwear, scoring, sweep, validate, views
+from epochloom.operators import activity, blocks, boundaries, circadian, days, features, islands, joins, metrics, nonwear, scoring, sweep, validate, views
 from epochloom.schema import EpochSchema, InvCode
 
 S = EpochSchema(freq_s=60)
@@ -333,3 +333,30 @@ def test_rows_in_any_order_and_partition(spark):
     a = scoring.score_all(x, s, rescoring=True).orderBy("hyp_time_col").toPandas()
     b = scoring.score_all(x.orderBy(F.rand(1)).repartition(3), s, rescoring=True).orderBy("hyp_time_col").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_runs_of_any_type(spark):
+    rows = [("1", k, v, i) for k, (v, i) in enumerate(zip(["ACTIVE", "ACTIVE", None, None, "REST", "ACTIVE"], [None, 0, 1, 1, None, 0]))]
+    x = spark.createDataFrame(rows, "pid string, t long, v string, i int").withColumn("hyp_time_col", F.timestamp_seconds("t"))
+    for op in (islands.run_lengths, blocks.run_lengths):
+        for col, want in (("v", [(0, 2), (0, 2), (1, 2), (1, 2), (2, 1), (3, 1)]), ("i", [(0, 2), (0, 2), (1, 2), (1, 2), (2, 2), (2, 2)])):
+            got = op(x, col, EpochSchema(), length="n", seq="q").orderBy("t").collect()
+            assert [(r.q, r.n) for r in got] == want
+
+
+def test_sweep_equals_single_detectors(spark):
+    rng = np.random.default_rng(3)
+    hr = 60 + 15 * (np.arange(2880) // 60 % 24 > 7) + rng.normal(0, 4, 2880)
+    rows = [(p, int(k), float(v) + p if rng.random() > 0.02 else None) for p in (1, 2) for k, v in enumerate(hr)]
+    x = spark.createDataFrame(rows, "pid int, k int, hr double").withColumn("hyp_time_col", F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(0, 0, k)"))
+    s = EpochSchema(hr="hr", freq_s=60)
+    every = boundaries.sweep_heart_rate(x, s, quantiles=[0.3, 0.5], min_minutes=[20, 40], merge_minutes=[30, 240], volatilities=(4, 5)).toPandas()
+    assert every["param_id"].nunique() == 16 and len(every) == 16 * len(rows)
+    for p in (0, 6, 15):
+        one = every[every.param_id == p]
+        r = one.iloc[0]
+        single = boundaries.by_heart_rate(x, s, quantile=r["quantile"], volatility=r.volatility, min_minutes=r.min_minutes, merge_minutes=r.merge_minutes).toPandas()
+        key = ["pid", "k"]
+        assert one.sort_values(key).hyp_sleep_period.tolist() == single.sort_values(key).hyp_sleep_period.tolist() and single.hyp_sleep_period.any()
+    with pytest.raises(ValueError):
+        boundaries.sweep_heart_rate(x, s, quantiles=[], min_minutes=[1], merge_minutes=[1])

@@ -54,6 +54,25 @@ def test_glucose(spark, tmp_path):
     assert [(r.pid, r.auto0_man1, r.gluc_mgdl, r.ket_mmol) for r in x] == [("9", 0, 100, None), ("9", 1, 90, 0.4), ("9", 5, 0, None)] and x[0].hyp_time_col == datetime(2021, 3, 4, 13, 5)
 
 
+def test_glucose_header_with_commas_and_several_files(spark, tmp_path):
+    head = 'Device,Serial Number,Device Timestamp,Record Type,Historic Glucose mg/dL,Scan Glucose mg/dL,Ketone mmol/L,"Other, free"'
+    for k in (1, 2):
+        (tmp_path / f"g{k}.csv").write_text(f"Export, of somebody\r\n{head}\r\nLibre,A{k},03-04-2021 01:05 PM,0,10{k},,,\"x, y\"\r\n")
+    x = readers.read_glucose(spark, str(tmp_path / "*.csv")).orderBy("serial").collect()
+    assert [(r.serial, r.gluc_mgdl) for r in x] == [("A1", 101), ("A2", 102)]
+    (tmp_path / "g3.csv").write_text("Export\nAnother,Header\n1,2\n")
+    with pytest.raises(ValueError):
+        readers.read_glucose(spark, str(tmp_path / "*.csv"))
+
+
+def test_rows_keep_the_order_of_files(spark, tmp_path):
+    for name, lines in (("b", 3), ("a", 400)):  # the smaller file is read later in any scan that goes by size
+        (tmp_path / f"{name}.csv").write_text("who,at,counts\n" + "".join(f"1,2020-01-01 00:00:00,{k}\n" for k in range(lines)))
+    cfg = SourceConfig(("counts",), "at", pid="who", strftime="%Y-%m-%d %H:%M:%S")
+    x = readers.read_epochs(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], cfg).orderBy("hyp_row").collect()
+    assert [r.hyp_act_x for r in x] == [*range(400), *range(3)] and [r.hyp_row for r in x] == [*range(1, 404)]
+
+
 def test_side_tables(spark):
     d = spark.createDataFrame([(1, "2020-01-01 22:00:00", ""), (2, None, "bad")], "pid int, sleep_onset string, sleep_offset string")
     assert [tuple(r) for r in readers.diary(d).collect()] == [("1", datetime(2020, 1, 1, 22), None), ("2", None, None)]
