@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochloom.functions.time import epoch_seconds
+from epochloom.runtime import spill
 
 
 def collapse_runs(
@@ -38,6 +39,7 @@ def collapse_runs(
     pieces = events.select("*", F.when(same, 0).otherwise(1).alias("f")).select("*", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     pieces = pieces.groupBy("s", "b", "run").agg(F.first("v").alias("v"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"))
     pieces = pieces.select("*", (F.col("run") == F.max("run").over(Window.partitionBy("s", "b"))).alias("last"))
+    pieces = spill(pieces)  # two branches read them
     edge = (F.col("run") == 1) | F.col("last")
     inner = pieces.where(~edge).select("s", "v", "t0", "t1", "n")
     we = Window.partitionBy("s").orderBy("t0")
