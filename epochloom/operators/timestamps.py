@@ -161,7 +161,7 @@ def counter_instant(near_us: Column, counter: Column) -> Column:
 
 
 def settle(
-    df: DataFrame, counters: DataFrame | None = None, *, source: str, order: str, key: str, counter: str | None = None, block: int = 2048, near_lines: int = 16, step_us: int = 90 * _S
+    df: DataFrame, counters: DataFrame | None = None, *, source: str, order: str, key: str, counter: str | None = None, block: int = 2048, near_lines: int = 16, step_us: int = 90 * _S, join_us: int = 1_800 * _S
 ) -> DataFrame:
     """Choose between ``early_us`` and ``late_us``; returns ``key``, ``source``, ``order`` and ``utc_us`` of rows that name an instant.
 
@@ -175,7 +175,10 @@ def settle(
     1. the nearest line with a ``counter``, at most ``near_lines`` lines away: the candidate nearer to it;
     2. the lines before it within the hour: after wall-clock time has gone back by more than ``step_us``, later
        candidate, before it earlier candidate;
-    3. where the hour shows no such step, the unambiguous neighbour that the whole stretch is nearer to;
+    3. where the hour shows no such step, the unambiguous neighbours: the whole stretch is later if it would otherwise begin
+       before the one before it, and earlier if it would otherwise end after the one behind it. Where it joins both
+       (within ``join_us``), the step is hidden by lines without a readable time; a line then takes the candidate nearer to the time
+       that its place between the two neighbours tells. Else the stretch goes with the neighbour that it is nearer to;
        the earlier candidate if there is none.
 
     Ties in ``order`` count as one moment. Lines with null ``order`` are settled as the earlier candidate.
@@ -199,7 +202,7 @@ def settle(
     to_now = w.rangeBetween(Window.unboundedPreceding, 0)
     from_now = back_w.rangeBetween(Window.unboundedPreceding, 0)
     e, ln = F.col("early_us"), F.col(order)
-    fixed = F.when(F.col("early_us") == F.col("late_us"), F.col("early_us"))
+    fixed = F.when(F.col("early_us") == F.col("late_us"), F.struct(ln.alias("l"), F.col("early_us").alias("t")))
     near = near.withColumn("__own", own)
     marked = near.select(
         "*",
@@ -224,10 +227,16 @@ def settle(
         F.min(F.struct(ln, e, F.col("__prev"))).over(whole).alias("__first"),
         F.max(F.struct(ln, F.col("late_us"), F.col("__next"))).over(whole).alias("__last"),
     )
-    to_prev = F.col("__first.early_us") - F.col("__first.__prev")
-    to_next = F.col("__last.__next") - F.col("__last.late_us")
-    by_order = F.when(F.col("__any") == 1, F.col("__back") == 1).otherwise(
-        F.when(to_prev.isNull() & to_next.isNull(), False).when(to_next.isNull(), False).when(to_prev.isNull(), to_next < 1_800 * _S).otherwise(to_next < to_prev)
+    to_prev = F.col("__first.early_us") - F.col("__first.__prev.t")
+    to_next = F.col("__last.__next.t") - F.col("__last.late_us")
+    p, n = F.col("__prev"), F.col("__next")
+    told = p["t"] + (n["t"] - p["t"]) * (ln - p["l"]) / (n["l"] - p["l"])
+    by_order = (
+        F.when(F.col("__any") == 1, F.col("__back") == 1)
+        .when(to_prev < 0, True)
+        .when(to_next < 0, False)
+        .when((to_prev < join_us) & (to_next < join_us), F.abs(F.col("late_us") - told) < F.abs(e - told))
+        .otherwise(F.coalesce(to_next < F.coalesce(to_prev, F.lit(join_us)), F.lit(False)))
     )
     late = by_order
     if counter:

@@ -84,6 +84,18 @@ def test_repeated_hour_by_order(spark):
     assert got[31] == us(2021, 10, 31, 0, 30) and 32 not in got
 
 
+def test_repeated_hour_whose_step_is_hidden(spark):
+    day = "31-10-2021"
+    # only later fits: the line before is later than the earlier candidate
+    rows = [(0, 1, 0, 1, f"{day} 00:59:00Z", None, "x"), (1, 1, 1, 1, f"{day} 02:20:00", None, "x"), (2, 1, 2, 1, f"{day} 02:21:00", None, "x")]
+    rows += [(10, 2, 5, 1, f"{day} 02:20:00", None, "x"), (11, 2, 6, 1, f"{day} 00:30:00Z", None, "x")]  # only earlier fits
+    rows += [(20, 3, 0, 1, f"{day} 01:59:00", None, "x"), (21, 3, 2, 1, f"{day} 02:01:00", None, "x"), (22, 3, 40, 1, f"{day} 02:39:00", None, "x"), (23, 3, 110, 1, f"{day} 02:49:00", None, "x"), (24, 3, 121, 1, f"{day} 03:00:00", None, "x")]
+    zones = spark.createDataFrame(ZONES, "device_id int, tz_name string, locale string")
+    got = {r.row_id: r.utc_us for r in normalise(lines(spark, rows), zones, text="t", source="src").collect()}
+    assert [got[k] for k in (1, 2, 10)] == [us(2021, 10, 31, 1, 20), us(2021, 10, 31, 1, 21), us(2021, 10, 31, 0, 20)]
+    assert [got[k] for k in (21, 22, 23)] == [us(2021, 10, 31, 0, 1), us(2021, 10, 31, 0, 39), us(2021, 10, 31, 1, 49)]
+
+
 def test_repeated_hour_by_counter(spark):
     rows, want = [], {}
     for k, utc in enumerate((us(2021, 10, 31, 0, 20), us(2021, 10, 31, 1, 40))):
