@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epochloom.operators.days import with_day
 from epochloom.operators.islands import largest_run, long_runs, merge_tolerance, run_lengths
-from epochloom.operators.metrics import agreement_columns, sleep_onset_offset, total_sleep_time
+from epochloom.operators.metrics import agreement_columns
 from epochloom.schema import EpochSchema
 
 _DAY = "__search_day"
@@ -204,10 +204,12 @@ def evaluate_boundaries(df: DataFrame, truth: str, others: list[str], s: EpochSc
     """(pid, day) of the ground truth with onset, offset and minutes asleep of every label, and per participant the mean
     squared error and kappa of every pair; days without ground-truth sleep are left out."""
     labels = [truth, *others]
-    per_day = None
-    for c in labels:
-        one = sleep_onset_offset(df, c, s).withColumnsRenamed({"onset": f"onset_{c}", "offset": f"offset_{c}"}).join(total_sleep_time(df, c, s, out=f"tst_{c}"), [s.pid, s.day])
-        per_day = one if per_day is None else per_day.join(one, [s.pid, s.day], "full")
+    s.need(df, *labels)
+    asleep = {c: F.when(F.col(c).cast("int") == 1, F.col(s.time)) for c in labels}
+    per_day = df.groupBy(s.pid, s.day).agg(
+        *[f(v).alias(f"{n}_{c}") for c, v in asleep.items() for n, f in (("onset", F.min), ("offset", F.max))],
+        *[(F.sum(F.coalesce(F.col(c).cast("int"), F.lit(0))) / F.lit(s.per_minute)).alias(f"tst_{c}") for c in labels],
+    )
     aggs = []
     for a, b in itertools.combinations(labels, 2):
         cols = agreement_columns(F.col(a).cast("int"), F.col(b).cast("int"))

@@ -459,9 +459,20 @@ def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("pid", *[F.round(c, 6).alias(c) for c in ("mse_gt_ann", "mse_gt_calm", "mse_ann_calm")])
 
 
-@_query()
+def _kappa(a: str, b: str) -> str:
+    """SQL: agreement of two labels of a participant beyond chance."""
+    pe = f"(avg({b}::int) * avg({a}::int) + (1 - avg({a}::int)) * (1 - avg({b}::int)))"
+    return f"round((avg(({a} = {b})::int) - {pe}) / nullif(1 - {pe}, 0), 6)"
+
+
+_PAIRS = (("gt", "ann"), ("gt", "calm"), ("ann", "calm"))
+
+
+@_query(", q as (select pid, day, " + ", ".join(f"min(case when {c} then t end) as onset_{c}, max(case when {c} then t end) as offset_{c}, sum({c}::int) * 60.0::double as tst_{c}" for c in ("gt", "ann", "calm")) + " from d group by pid, day), p as (select pid, "
+        + ", ".join(f"round(avg(({a} != {b})::int), 6) as mse_{a}_{b}, {_kappa(a, b)} as kappa_{a}_{b}" for a, b in _PAIRS) + " from d group by pid) select q.* exclude (day), q.day as hyp_exp_day, p.* exclude (pid) from q join p on q.pid = p.pid where onset_gt is not null")
 def boundary_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    return boundaries.evaluate_boundaries(dense(spark, sf), "gt", ["ann", "calm"], S)
+    x = boundaries.evaluate_boundaries(dense(spark, sf), "gt", ["ann", "calm"], S)
+    return x.withColumns({c: F.round(c, 6) for c in x.columns if c.startswith(("mse_", "kappa_"))})
 
 
 _TST = ", v as (select pid, day, sum(gt::int)::double as g, sum(ann::int)::double as o from d group by pid, day)"

@@ -59,7 +59,8 @@ def _clock_dates(df: DataFrame, cfg: SourceConfig, pid: Column) -> Column:
 
 def standardise(df: DataFrame, cfg: SourceConfig, *, pid: str | None = None, order: str | None = None) -> DataFrame:
     """Add the canonical columns to the source's: ``pid``, ``hyp_time_col``, ``hyp_row``, ``hyp_act_x/y/z``, and where configured
-    ``hyp_hr``, ``hyp_mets`` and ``hyp_annotation``. One table may hold many participants.
+    ``hyp_hr``, ``hyp_mets`` and ``hyp_annotation``, and ``cfg.extra`` (such as the place of the device) as constant columns. One table
+    may hold many participants.
 
     A number that can't be read, or NaN, is null. ``order`` names a column in order of measuring; without one, rows keep
     the order of their file.
@@ -86,6 +87,7 @@ def standardise(df: DataFrame, cfg: SourceConfig, *, pid: str | None = None, ord
         cols["hyp_mets"] = _number(cfg.mets)
     if cfg.annotation and cfg.annotation[0] in df.columns:
         cols["hyp_annotation"] = F.coalesce(F.col(cfg.annotation[0]).isin(list(cfg.annotation[1])), F.lit(False))
+    cols |= {k: F.lit(v) for k, v in cfg.extra.items()}
     keep = [c for c in x.columns if c not in (*cols, "pid", "__pid")]
     return x.select(F.col("__pid").alias("pid"), *[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in cols.items()])
 

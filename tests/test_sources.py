@@ -29,6 +29,12 @@ def test_axes_and_heart_rate(spark):
     assert (r.hyp_time_col, r.hyp_act_x, r.hyp_act_y, r.hyp_act_z, r.hyp_hr) == (datetime(2020, 1, 2, 3, 4, 5), 1, None, None, 60)
 
 
+def test_constant_columns(spark):
+    x = spark.createDataFrame([("7", "2020-01-02", 1.0, "left")], "pid string, at string, a double, place string")
+    r = readers.standardise(x, SourceConfig(("a",), "at", pid="pid", strftime="%Y-%m-%d", extra={"place": "wrist", "counts": True})).first()
+    assert (r.place, r.counts, r.hyp_act_x) == ("wrist", True, 1.0)
+
+
 def test_errors(spark):
     x = spark.createDataFrame([("1", "t", 1.0)], "pid string, time string, activity double")
     for cfg, pid in ((SourceConfig((), "time", pid="pid", strftime="%Y"), None), (SourceConfig(("a", "b", "c", "d"), "time", pid="pid"), None), (SourceConfig(("activity",), "time", strftime="%Y"), None),
