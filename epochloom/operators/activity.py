@@ -122,7 +122,9 @@ def bout_table(
     x = x.select("*", *[(F.lag(F.lit(1)).over(w).isNull() | ~F.col(f"__l{i}").eqNullSafe(F.lag(f"__l{i}").over(w))).cast("int").alias(f"__n{i}") for i in names])
     x = x.select("*", *[F.sum(f"__n{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__q{i}") for i in names])
     awake = ~F.coalesce(F.col(sleep).cast("boolean"), F.lit(False)) if sleep else F.lit(True)
-    place = F.when(awake, F.struct(*[F.col(c) for c in (s.time, *([s.row] if s.row else []))], *[k.alias(f"k{i}") for i, k in enumerate(_keys(s, resolution)[1:])]))
+    order, place = [s.time, *([s.row] if s.row else [])], _keys(s, resolution)[1:]
+    fields = {f"o{i}": F.col(c) for i, c in enumerate(order)} | {f"k{i}": k for i, k in enumerate(place)}
+    place = F.when(awake, F.named_struct(*[x for n, v in fields.items() for x in (F.lit(n), v)]))
     runs = x.select(s.pid, place.alias("at"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__l{i}").alias("l"), F.col(f"__q{i}").alias("q")) for i in names])).alias("r")).where("r.l")
     runs = runs.groupBy(s.pid, "r.i", "r.q").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("at is not null")
     keys = [s.day, *(["hour"] if resolution == "hour" else [])]
