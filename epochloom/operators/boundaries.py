@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from epochloom.operators.days import with_day
@@ -81,9 +81,7 @@ def sweep_heart_rate(
     """
     if not s.hr or s.hr not in df.columns:
         raise AttributeError("needs a heart-rate column")
-    grid = list(itertools.product(range(len(quantiles)), volatilities, min_minutes, merge_minutes))
-    if not grid or min(merge_minutes) < 0:
-        raise ValueError("needs values for every parameter, and no negative merge_minutes")
+    grid = _grid(quantiles, volatilities, min_minutes, merge_minutes)
     x = _searched(df, s, search)
     x = _bin_quantile(x, F.col("__hr"), s, search[0], [float(q) for q in quantiles], "__all")
     names = ("param_id", "__qi", "volatility", "min_minutes", "merge_minutes")
@@ -94,6 +92,112 @@ def sweep_heart_rate(
     return picked.select(*[c for c in df.columns if c != out], "param_id", "quantile", "volatility", "min_minutes", "merge_minutes", out)
 
 
+def _grid(quantiles: list[float], volatilities: tuple[float, ...], min_minutes: list[float], merge_minutes: list[float]) -> list[tuple]:
+    """Every combination, with the place of its quantile in the list; the place in the result is ``param_id``."""
+    grid = list(itertools.product(range(len(quantiles)), volatilities, min_minutes, merge_minutes))
+    if not grid or min(merge_minutes) < 0:
+        raise ValueError("needs values for every parameter, and no negative merge_minutes")
+    return grid
+
+
+def sweep_heart_rate_totals(
+    df: DataFrame, s: EpochSchema, *, quantiles: list[float], min_minutes: list[float], merge_minutes: list[float], volatilities: tuple[float, ...] = (5,), rolling_minutes: float = 5, search: tuple[int, int] = (20, 12),
+    volatility_minutes: float = 10, only_in_search: bool = False, out: str = "epochs_asleep",
+) -> DataFrame:
+    """How many epochs of a participant :func:`sweep_heart_rate` flags for each combination: (pid, ``param_id``, ``quantile``, ``volatility``,
+    ``min_minutes``, ``merge_minutes``, ``out``).
+
+    No epoch is repeated. All epochs are passed once, with one flag a quantile; the other parameters need only the first and last epochs
+    of low stretches, and those alone are repeated for each combination. All windows share the participant's partitioning.
+    """
+    if not s.hr or s.hr not in df.columns:
+        raise AttributeError("needs a heart-rate column")
+    grid = _grid(quantiles, volatilities, min_minutes, merge_minutes)
+    x = _low_edges(df, s, [float(q) for q in quantiles], volatilities, rolling_minutes, search, volatility_minutes, only_in_search)
+    who, past = (s.pid, *s.blocks), (Window.unboundedPreceding, 0)
+
+    # stretches that are low, cut where a day begins; one that isn't stands for a participant's first epoch, so that totals of 0 have their row
+    x = x.withColumn("__e", F.explode("__edges")).select("*", "__e.*").drop("__edges", "__e")
+    w = Window.partitionBy(*who, "__q").orderBy("__idx")
+    end = F.struct("__idx", "__t", "__r2", "__hi")
+    x = x.withColumn("__end", F.when(F.col("__on"), F.when(F.col("__last"), end).otherwise(F.lead(end).over(w)))).where("__first or __idx = 1")
+    same = F.col("__on") & (F.col("__idx") == F.lag(F.col("__end.__idx")).over(w) + 1)
+    x = x.withColumn("__run", F.sum(F.coalesce(same, F.lit(False)).cast("int") * -1 + 1).over(w.rowsBetween(*past)))
+    x = x.withColumn("__len", F.sum(F.col("__end.__idx") - F.col("__idx") + 1).over(Window.partitionBy(*who, "__q", "__run")))
+
+    params = ("param_id", "quantile", "volatility", "min_minutes", "merge_minutes")
+    combos = [
+        F.array(*[
+            F.struct(F.lit(i).alias("param_id"), F.lit(float(quantiles[q])).alias("quantile"), *[F.lit(float(v)).alias(n) for n, v in zip(params[2:], rest)], F.lit(volatilities.index(rest[0])).alias("__v"))
+            for i, (q, *rest) in enumerate(grid) if q == k
+        ])
+        for k in range(len(quantiles))
+    ]
+    x = x.withColumn("__p", F.explode(F.get(F.array(*combos), F.col("__q")))).select("*", "__p.*")
+    long = F.col("__on") & (F.col("__len") > F.greatest(F.lit(1), F.rint(F.col("min_minutes") * s.per_minute)))
+    x = x.withColumn("__cand", F.coalesce(long, F.lit(False))).where("__cand or __idx = 1")
+    w = Window.partitionBy(*who, "param_id").orderBy("__idx")
+    before = F.lag(F.struct("__cand", "__day", F.col("__end.__idx").alias("__i"), F.col("__end.__t").alias("__t"))).over(w)
+    x = x.withColumn("__b", before)
+    close = (F.col("__day") == F.col("__b.__day")) & (F.col("__t") - F.col("__b.__t") <= F.col("merge_minutes") * 60)
+    merged = F.col("__cand") & F.col("__b.__cand") & ((F.col("__idx") == F.col("__b.__i") + 1) | close)
+    x = x.withColumn("__run", F.sum(F.coalesce(merged, F.lit(False)).cast("int") * -1 + 1).over(w.rowsBetween(*past)))
+
+    mine = lambda c: F.when(F.col("__cand"), c)
+    runs = x.groupBy(*who, *params, "__run").agg(
+        F.min(mine(F.col("__r1"))).alias("a"), F.min_by(mine(F.get("__lo", F.col("__v"))), "__idx").alias("lo"),
+        F.max(mine(F.col("__end.__r2"))).alias("b"), F.max_by(mine(F.get("__end.__hi", F.col("__v"))), "__idx").alias("hi"),
+    )
+    runs = runs.select(*who, *params, F.least("a", "lo").alias("a"), F.greatest("b", "hi").alias("b"))
+    # extended runs may overlap; each counts what lies past those begun before
+    done = F.max("b").over(Window.partitionBy(*who, "param_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("__n", F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a") - 1, done)))
+    return runs.groupBy(s.pid, *params).agg(F.sum("__n").alias(out))
+
+
+def _low_edges(df: DataFrame, s: EpochSchema, quantiles: list[float], volatilities: tuple[float, ...], rolling_minutes: float, search: tuple[int, int], volatility_minutes: float, only_in_search: bool) -> DataFrame:
+    """A participant's first epoch and those at which a stretch of low heart rate begins or ends for any quantile: number (``__idx``), time,
+    search day, numbers of the first and last epoch of the same time (``__r1``, ``__r2``), ``__edges`` (the quantiles for which it is one), and per volatility the
+    number to which a run that begins here (``__lo``) or ends here (``__hi``) is extended, if it is."""
+    start, epochs, every = search[0], lambda m: max(1, round(m * s.per_minute)), (Window.unboundedPreceding, Window.unboundedFollowing)
+    who, n, k = (s.pid, *s.blocks), epochs(rolling_minutes), range(len(quantiles))
+    x = _searched(df.where(F.col(s.pid).isNotNull() & F.col(s.time).isNotNull()), s, search).withColumn("__t", s.seconds(df))
+    x = x.withColumn("__bin", _bins(F.col("__t"), start)).withColumn("__day", F.to_date(F.col(s.time) - F.expr(f"make_dt_interval(0, {int(start)})")))
+    # bins and seconds rise with time, so this is the order of time; with it one sort serves all windows up to the bounds of runs
+    order = ("__bin", "__t", s.time, *([s.row] if s.row else []))
+    w, own = Window.partitionBy(*who).orderBy(*order), Window.partitionBy(s.pid).orderBy(*order)
+    x = x.select(*who, *order, s.hr, "__out", "__hr", "__day", F.row_number().over(w).alias("__idx"), _volatility(w, epochs(volatility_minutes), s).alias("__vol"))
+    x = x.withColumn("__q", F.percentile("__hr", F.array(*map(F.lit, quantiles))).over(Window.partitionBy(s.pid, "__bin")))
+    x = x.withColumn("__thr", F.coalesce(F.last("__q", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.first("__q", ignorenulls=True).over(own.rowsBetween(*every))))
+    # low where most of the last n epochs are; the first epochs take the first full frame's value
+    low = [F.when(F.col("__hr") - F.get("__thr", F.lit(i)) > 0, 0).otherwise(1) for i in k]
+    whole, frame = w.rowsBetween(*every), w.rowsBetween(-(n - 1), 0)
+    most = [F.when(F.col("__idx") < n, F.sum(F.when(F.col("__idx") <= n, v)).over(whole)).otherwise(F.sum(v).over(frame)) * 2 > n for v in low]
+    inside = ~F.col("__out") if only_in_search else F.lit(True)
+    x = x.select(*who, *order, "__day", "__idx", "__vol", *[((F.max("__idx").over(whole) >= n) & v & inside).alias(f"__on{i}") for i, v in enumerate(most)])
+    ends = [F.col(f"__on{i}") & ~F.coalesce(f(f"__on{i}").over(w) & (f("__day").over(w) == F.col("__day")), F.lit(False)) for f in (F.lag, F.lead) for i in k]
+    x = x.select("*", *[v.alias(f"__{'first' if j < len(k) else 'last'}{j % len(k)}") for j, v in enumerate(ends)])
+    edges = [F.when(F.expr(f"__first{i} or __last{i} or __idx = 1"), F.struct(F.lit(i).alias("__q"), *[F.col(f"{c}{i}").alias(c) for c in ("__on", "__first", "__last")])) for i in k]
+    peers = Window.partitionBy(*who).orderBy("__bin", "__t")
+    x = x.select(*who, "__t", "__day", "__idx", "__vol", F.array_compact(F.array(*edges)).alias("__edges"), F.rank().over(peers).alias("__r1"), F.count(F.lit(1)).over(peers.rangeBetween(Window.unboundedPreceding, 0)).alias("__r2"))
+
+    # seen from an epoch: the last volatile one up to 1 h later, no more than 4 h before; the first from 1 min before, no more than 2 h later
+    x = x.where((F.size("__edges") > 0) | (F.col("__vol") > float(min(volatilities))))
+    on = Window.partitionBy(*who).orderBy("__t").rangeBetween(Window.unboundedPreceding, 3600)
+    back = Window.partitionBy(*who).orderBy(-F.col("__t")).rangeBetween(Window.unboundedPreceding, 60)
+    wild = lambda v, c: F.when(F.col("__vol") > F.lit(float(v)), F.col(c))
+    lo = [F.when(F.max(wild(v, "__t")).over(on) >= F.col("__t") - 4 * 3600, F.max(wild(v, "__r1")).over(on)) for v in volatilities]
+    hi = [F.when(F.min(wild(v, "__t")).over(back) <= F.col("__t") + 2 * 3600, F.min(wild(v, "__r2")).over(back)) for v in volatilities]
+    x = x.withColumn("__lo", F.array(*lo)).withColumn("__hi", F.array(*hi))
+    return x.where(F.size("__edges") > 0).select(*who, "__t", "__day", "__idx", "__r1", "__r2", "__edges", "__lo", "__hi")
+
+
+def _volatility(w: WindowSpec, n: int, s: EpochSchema) -> Column:
+    """Standard deviation of the ``n`` heart rates around an epoch; 0 if one is missing."""
+    around = w.rowsBetween(-(n - 1 - (n - 1) // 2), (n - 1) // 2)
+    return F.coalesce(_full(around, n, F.when(F.count(s.hr).over(around) == n, F.stddev_samp(F.col(s.hr).cast("double")).over(around))), F.lit(0.0))
+
+
 def _searched(df: DataFrame, s: EpochSchema, search: tuple[int, int]) -> DataFrame:
     """Add whether an epoch is outside the search window (``__out``) and its heart rate inside (``__hr``)."""
     start, end = search
@@ -122,9 +226,7 @@ def _below(
         x = x.withColumn("__med", F.when(F.col("__out"), 0.0).otherwise(F.col("__med")))
     x = run_lengths(x.withColumn("__m2", (F.col("__med") * 2).cast("int")), "__m2", s, length="__len", seq="__seq")
     x = x.withColumn("__cand", (F.col("__med") == 1.0) & (F.col("__len") > F.greatest(F.lit(1), F.rint(min_minutes * s.per_minute))))
-    v = epochs(volatility_minutes)
-    around = w.rowsBetween(-(v - 1 - (v - 1) // 2), (v - 1) // 2)
-    x = x.withColumn("__vol", F.coalesce(_full(around, v, F.when(F.count(s.hr).over(around) == v, F.stddev_samp(F.col(s.hr).cast("double")).over(around))), F.lit(0.0)))
+    x = x.withColumn("__vol", _volatility(w, epochs(volatility_minutes), s))
     x = with_day(x.drop("__len", "__seq"), s, start, out=_DAY)
     x = merge_tolerance(x, "__cand", merge_minutes, s, by=(_DAY,))
     x = _extend(x, s, volatility)

@@ -781,8 +781,8 @@ def boundary_hr_minutes(spark: SparkSession, sf: str) -> DataFrame:
 @_query()
 def boundary_hr_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Minutes asleep per combination of 5 quantiles, 5 least lengths and 5 merge tolerances, all in one plan."""
-    x = boundaries.sweep_heart_rate(minutes(spark, sf), M, quantiles=[0.3, 0.35, 0.4, 0.45, 0.5], min_minutes=[20, 30, 40, 50, 60], merge_minutes=[60, 120, 180, 240, 300])
-    return x.groupBy("param_id", "quantile", "volatility", "min_minutes", "merge_minutes").agg(F.count_if("hyp_sleep_period").alias("minutes_asleep"))
+    x = boundaries.sweep_heart_rate_totals(minutes(spark, sf), M, quantiles=[0.3, 0.35, 0.4, 0.45, 0.5], min_minutes=[20, 30, 40, 50, 60], merge_minutes=[60, 120, 180, 240, 300])
+    return x.groupBy("param_id", "quantile", "volatility", "min_minutes", "merge_minutes").agg(F.sum("epochs_asleep").alias("minutes_asleep"))
 
 
 _HYP = """with e as (select pid, hyp_time_col as t, arg_max(coalesce(hyp_sleep_bin, -99), (received_at, row_id)) as b from hyp_epochs where pid is not null and hyp_time_col is not null group by all),

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from epochloom import plans
 from epochloom.operators import activity, blocks, boundaries, circadian, days, features, islands, joins, metrics, nonwear, scoring, sweep, validate, views
 from epochloom.schema import EpochSchema, InvCode
 
@@ -360,3 +361,44 @@ def test_sweep_equals_single_detectors(spark):
         assert one.sort_values(key).hyp_sleep_period.tolist() == single.sort_values(key).hyp_sleep_period.tolist() and single.hyp_sleep_period.any()
     with pytest.raises(ValueError):
         boundaries.sweep_heart_rate(x, s, quantiles=[], min_minutes=[1], merge_minutes=[1])
+
+
+def _recordings(spark, seed):
+    """Two days of three participants with ties, gaps and missing values, one with 3 epochs, one without heart rate, rows without participant or time."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for p in (1, 2, 3):
+        at = np.sort(rng.choice(2 * 86_400 + 40_000, 1000, replace=False) // 30 * 30 + 1_704_110_400)
+        hr = 60 + 12 * np.sin(at / 86_400 * 2 * np.pi) + rng.normal(0, 4, 1000) + rng.choice([0, 9], 1000, p=[0.97, 0.03])
+        rows += [(p, k, float(v) if rng.random() > 0.01 else None, int(t)) for k, (v, t) in enumerate(zip(hr, at))]
+    rows += [(4, k, 60.0 + k, 1_704_110_400 + 60 * k) for k in range(3)] + [(5, k, None, 1_704_110_400 + 60 * k) for k in range(90)]
+    rows += [(None, 0, 60.0, 1_704_110_400), (1, 9000, 60.0, None)]
+    return spark.createDataFrame(rows, "pid int, k int, hr double, at long").withColumn("hyp_time_col", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at")
+
+
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"only_in_search": True, "search": (21, 11)}), (3, {"rolling_minutes": 6, "volatility_minutes": 4, "search": (0, 0)})])
+def test_sweep_totals_equal_flagged_epochs(spark, seed, more):
+    x, s = _recordings(spark, seed), EpochSchema(hr="hr", row="k", freq_s=60)
+    grid = {"quantiles": [0.5, 0.3], "min_minutes": [0, 6], "merge_minutes": [0, 45], "volatilities": (7, 4.5)}
+    keys = ["pid", "param_id", "quantile", "volatility", "min_minutes", "merge_minutes"]
+    want = boundaries.sweep_heart_rate(x, s, **grid, **more).groupBy(*keys).agg(F.count_if("hyp_sleep_period").alias("n")).collect()
+    got = boundaries.sweep_heart_rate_totals(x, s, **grid, **more, out="n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 5 * 16
+    assert len({r.n for r in got if r.pid == 1}) > 6
+    with pytest.raises(ValueError):
+        boundaries.sweep_heart_rate_totals(x, s, quantiles=[0.5], min_minutes=[1], merge_minutes=[-1])
+
+
+def test_sweep_query_moves_no_repeated_epochs(spark, tmp_path):
+    rows = [(i, i // 700, i % 700 + 1, 1.0, 60.0 + i % 700 // 60 % 9) for i in range(1400)]
+    spark.createDataFrame(rows, "row_id long, id long, line_no int, stdmet_highic_branch double, mean_hr double").write.parquet(str(tmp_path / "small_collection_fenland_full.parquet"))
+    assert plans.collect()[0]["boundary_hr_sweep"](spark, str(tmp_path)).count() == 125
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        steps = plans.collect()[0]["boundary_hr_sweep"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    # above the first repetition (the plan reads from its end) there is only the exchange of the totals
+    first = max(i for i, line in enumerate(steps) if "Generate explode" in line)
+    assert sum("Exchange hashpartitioning" in line for line in steps[:first]) == 1
